@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, linesuffix, mixing, omh, quality, urls
+from . import bpe, crosspoly, itq, linesuffix, mixing, omh, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = bpe.public_rank_file()
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), path, pattern, with_ids=False)
@@ -22,6 +27,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -39,7 +48,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_url_filter, op7_mixing, op8_line_dedup, op9_quality, op10_near_copies)}
+    return {f.__name__: f for f in (op1_near_vectors, op3_bpe, op4_url_filter, op5_neighbours, op7_mixing, op8_line_dedup, op9_quality, op10_near_copies)}
 
 
 _HOST = r"translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
