@@ -1,9 +1,562 @@
-"""Queries of the library's own operators."""
+"""Queries of the library's operators over the test tables, each beside the SQL that it must equal."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from . import bridge as B
+from .functions import temporal as T
+from .functions import text as X
+from .operators import chunking, cluster, dedupe, graph, keyword, provenance, semantic, timeline, validate, voting
+from .operators import ranking as R
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# SQL that several share
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TOKENS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{Mn}}_]+'), lambda x: length(x) >= 2)"
+_POST = f"toks as (select doc_id, unnest({_TOKENS.format('text')}) as term from documents), post as (select doc_id, term, count(*) as tf from toks group by all), len as (select doc_id, len({_TOKENS.format('text')}) as dl from documents), st as (select count(*) as n, avg(dl) as avgdl from len), df as (select term, count(*) as df from post group by term), q as (select term, count(*) as qtf from (select unnest({_TOKENS.format(repr(B.QUERY))}) as term) group by term)"
+_BM25 = f"{_POST}, idf0 as (select term, ln(n - df + 0.5) - ln(df + 0.5) as i from df, st), idf as (select term, qtf, case when i >= 0 then i else (select avg(i) * 0.25 from idf0) end as idf from idf0 join q using (term)), bm as (select l.doc_id, round(coalesce(s, 0), 6) as score from len l left join (select doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as s from post join idf using (term) join len using (doc_id), st group by doc_id) x on x.doc_id = l.doc_id)"
+_DOT = "list_dot_product(a.embedding::double[], b.embedding::double[])"
+_NORMS = "sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))"
+_COS = f"cs as (select a.vec_id, a.label, round({_DOT} / ({_NORMS}), 6) as score from embeddings a, embeddings b where b.vec_id = 0)"
+_GRAIN = "case when event_id % 3 = 0 then strftime({0}, '%Y') when event_id % 3 = 1 then strftime({0}, '%Y-%m') else strftime({0}, '%Y-%m-%d') end"
+_TEV = f"tev as (select event_id, user_id, event_type, w, {_GRAIN.format('w')} as time_start, case when event_id % 2 = 0 then {_GRAIN.format('(w + interval 7 day)')} end as time_end, case when event_id % 2 = 0 then 'range' else 'point' end as time_type from (select *, ts + to_days((event_id % 1500)::int) as w from events)), tl as (select user_id, event_type, 'user' || user_id || '/' || event_type as timeline_id, min(event_id) as first from tev group by all having count(*) >= 2), pos as (select event_id, timeline_id, row_number() over (partition by user_id, event_type order by w, event_id) - 1 as position from tev join tl using (user_id, event_type))"
+_PARTS = "try_cast(substr({0}, 1, 4) as int) as y, try_cast(nullif(substr({0}, 6, 2), '') as int) as m, try_cast(nullif(substr({0}, 9, 2), '') as int) as d"
+
+# Chunks
+
+_CUT = f"""with n as (select doc_id, text, length(text) as n, greatest(0, ceil((length(text) - 1500) / 1400.0))::int as last from documents),
+c as (select doc_id, n, i, i * 1400 as s, least(i * 1400 + 1500, n) as e, case when n <= 1500 then text else trim(text[i * 1400 + 1 : least(i * 1400 + 1500, n)], {_WS}) end as content, text from n, unnest(range(0, last + 1)) as u(i)),
+k as (select *, row_number() over (partition by doc_id order by i) - 1 as idx from c where content <> '' or n <= 1500),
+m as (select *, lead(e) over w as ne, lead(length(content)) over w as nl, lead(idx, 2) over w as after, lag(idx) over w as before from k window w as (partition by doc_id order by idx)),
+"""
+
+
+@query(_CUT + f"""r as (select doc_id, idx, s, case when ne is not null and after is null and nl < 500 then ne else e end as e, case when ne is not null and after is null and nl < 500 then trim(text[s + 1 : ne], {_WS}) else content end as content from m where not (ne is null and before is not null and length(content) < 500))
+select doc_id::varchar || '-chunk-' || lpad(idx::varchar, 4, '0') as chunk_id, s::int as start_char, e::int as end_char, length(content)::int as token_count, md5(content) as digest from r""")
+def q_chunk_fixed_char(spark, d):
+    out = chunking.by_chars(B.table(spark, d, "documents"))
+    return out.select("chunk_id", "start_char", "end_char", "token_count", F.md5("content").alias("digest"))
+
+
+@query(r"""with t as (select doc_id, text, regexp_extract_all(text, '[\x09-\x0D\x20]*[^\x09-\x0D\x20]+') as t from documents), n as (select *, len(t) as n, greatest(0, ceil((len(t) - 200) / 150.0))::int as last from t)
+select doc_id::varchar || '-chunk-' || lpad(i::varchar, 4, '0') as chunk_id, least(200, n - i * 150)::int as token_count, coalesce(length(array_to_string(t[1 : i * 150], '')), 0)::int as start_char from (select * from n where n > 200), unnest(range(0, last + 1)) as u(i)""")
+def q_chunk_fixed_token(spark, d):
+    docs = B.table(spark, d, "documents")
+    long = docs.where(F.size(F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))) > 200)
+    out = chunking.by_tokens(long, size=200, overlap=50, least=0)
+    return out.select("chunk_id", "token_count", "start_char").withColumn("start_char", F.coalesce("start_char", F.lit(0)))
+
+
+@query(rf"""select doc_id, len(s)::int as n_sentences, md5(array_to_string(s, '|')) as digest from (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])[\x09-\x0D\x20]+', '\1␞', 'g'), '([.!?。！？])([A-Z])', '\1␞\2', 'g'), '␞'), lambda x: trim(x, {_WS})), lambda x: x <> '') as s from documents) where len(s) > 1""")
+def q_sentence_split(spark, d):
+    s = chunking.split_sentences(F.col("text"))
+    first = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？])\s+|(?<=[.!?。！？])(?=[A-Z])"), T.strip), lambda x: x != "")
+    docs = B.table(spark, d, "documents").where(F.size(first) > 1)
+    return docs.select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
+
+
+@query()
+def q_sentence_chunks(spark, d):
+    return chunking.by_sentences(B.table(spark, d, "documents")).select("chunk_id", "start_char", "end_char", F.md5("content").alias("digest"))
+
+
+@query()
+def q_chunk_sentence_cuts(spark, d):
+    return chunking.by_chars_at_sentences(B.table(spark, d, "documents")).select("chunk_id", "start_char", "end_char", F.md5("content").alias("digest"))
+
+
+# Keywords
+
+
+@query(f"select doc_id, len(t)::int as n_tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {_TOKENS.format('text')} as t from documents)")
+def q_tokens(spark, d):
+    t = X.tokens("text")
+    return B.table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+
+
+@query(f"with {_POST} select term, df, max(tf) as most, sum(tf)::bigint as total from post join df using (term) group by all")
+def q_corpus_stats(spark, d):
+    p = keyword.build(B.nodes(spark, d)).postings
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.sum("tf").alias("total"))
+
+
+def _bm25(spark, d):
+    n = B.nodes(spark, d)
+    return keyword.bm25(keyword.build(n), keyword.query_terms(spark, B.QUERY)).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {_BM25} select doc_id as node_id, score from bm order by score desc, doc_id limit 10")
+def q_bm25_topk(spark, d):
+    return R.top_k(_bm25(spark, d), 10).select("node_id", "score")
+
+
+@query(f"with {_BM25} select doc_id as node_id, score from bm")
+def q_bm25_all(spark, d):
+    return _bm25(spark, d).select("node_id", "score")
+
+
+@query(f"""with {_POST}, idf as (select term, ln((n + 1) / (df + 1)) + 1 as idf from df, st), w as (select doc_id, term, tf / max(tf) over (partition by doc_id) * idf as w from post join idf using (term)), nm as (select doc_id, sqrt(sum(w * w)) as norm from w group by doc_id), qw as (select term, qtf / (select max(qtf) from q) * idf as qw from q join idf using (term))
+select doc_id as node_id, round(sum(w * qw) / (any_value(norm) * (select sqrt(sum(qw * qw)) from qw)), 6) as score from w join qw using (term) join nm using (doc_id) group by doc_id order by score desc, doc_id limit 10""")
+def q_tfidf_topk(spark, d):
+    n = B.nodes(spark, d)
+    scored = keyword.tfidf(keyword.build(n), keyword.query_terms(spark, B.QUERY)).withColumn("score", F.round("score", 6))
+    return R.top_k(scored, 10).select("node_id", "score")
+
+
+@query(r"""with t as (select doc_id, lower(text) as l, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Mn}_]+')) as tt, ['the', 'theron', 'of'] as qt from documents)
+select doc_id as node_id, round(case when contains(l, 'the theron of') then 1.0 else 0.0 end + 0.5 * len(list_intersect(qt, tt)) / 3 + 0.1 * len(list_filter(qt, lambda x: contains(l, x))), 6)::double as score from t where len(list_intersect(qt, tt)) > 0 or len(list_filter(qt, lambda x: contains(l, x))) > 0""")
+def q_match_score(spark, d):
+    return keyword.simple_match(B.nodes(spark, d), "the theron of").select("node_id", F.round("score", 6).alias("score"))
+
+
+# Vectors
+
+
+@query(f"with {_COS} select vec_id as node_id, score from cs order by score desc, vec_id limit 10")
+def q_cosine_topk(spark, d):
+    return R.top_k(B.scored_vectors(spark, d), 10).select("node_id", "score")
+
+
+@query(f"select a.vec_id as node_id, round({_DOT}, 6) as score from embeddings a, embeddings b where b.vec_id = 0 order by score desc, node_id limit 10")
+def q_ip_topk(spark, d):
+    return R.top_k(B.scored_vectors(spark, d, "ip"), 10).select("node_id", "score")
+
+
+@query("select a.vec_id as node_id, round(1 / (1 + sqrt(list_sum(list_transform(list_zip(a.embedding::double[], b.embedding::double[]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))), 6) as score from embeddings a, embeddings b where b.vec_id = 0 order by score desc, node_id limit 10")
+def q_l2_topk(spark, d):
+    return R.top_k(B.scored_vectors(spark, d, "l2"), 10).select("node_id", "score")
+
+
+@query(f"with {_COS} select vec_id as node_id, score from (select * from cs order by score desc, vec_id limit 50) where score >= 0.2 order by score desc, vec_id limit 10")
+def q_sim_threshold(spark, d):
+    return R.top_k(R.threshold(R.top_k(B.scored_vectors(spark, d), 50), 0.2), 10).select("node_id", "score")
+
+
+@query(f"select a.vec_id as a, b.vec_id as b, round({_DOT} / ({_NORMS}), 5) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where {_DOT} / ({_NORMS}) >= 0.35")
+def q_similar_pairs(spark, d):
+    return semantic.similar_pairs(B.vectors(spark, d), 0.35, blocks=["label"]).withColumn("similarity", F.round("similarity", 5))
+
+
+@query()
+def q_ivf_topk(spark, d):
+    from .operators.semantic import IvfIndex
+
+    v = B.vectors(spark, d)
+    q = [float(x) for x in B.query_vector(spark, d).first().q]
+    return IvfIndex(v).search(q, 10).select("node_id", F.round("score", 6).alias("score"))
+
+
+# Fusion
+
+_RANKS = f"with {_BM25}, {_COS}, k as (select doc_id as node_id, score, row_number() over (order by score desc, doc_id) - 1 as r from bm qualify r < 20), s as (select vec_id as node_id, score, row_number() over (order by score desc, vec_id) - 1 as r from cs qualify r < 20), u as (select *, 0 as src, 0.3 as w from k union all select *, 1, 0.7 from s)"
+
+
+def _both(spark, d):
+    k = R.with_rank(R.top_k(_bm25(spark, d), 20)).select("node_id", "score", "rank")
+    s = R.with_rank(R.top_k(B.scored_vectors(spark, d), 20)).select("node_id", "score", "rank")
+    return k, s
+
+
+def _fused(spark, d, mode):
+    return R.top_k(R.fuse(*_both(spark, d), mode).withColumn("score", F.round("score", 6)), 10, order="node_id").select("node_id", "score")
+
+
+@query(f"{_RANKS} select node_id, round(sum(1.0::double / (61 + r)), 6) as score from u group by node_id order by score desc, node_id limit 10")
+def q_rrf(spark, d):
+    return _fused(spark, d, "rrf")
+
+
+@query(f"{_RANKS} select node_id, round(sum(w::double * score) / sum(w::double), 6) as score from u group by node_id order by score desc, node_id limit 10")
+def q_weighted_sum(spark, d):
+    return _fused(spark, d, "weighted_sum")
+
+
+@query(f"{_RANKS} select node_id, max(score) as score from u group by node_id order by score desc, node_id limit 10")
+def q_max_score(spark, d):
+    return _fused(spark, d, "max_score")
+
+
+@query(f"{_RANKS}, f as (select node_id, min(r * 2 + src) as turn from u group by node_id) select node_id, round(1 - (row_number() over (order by turn) - 1) / (count(*) over ())::double, 6) as score from f order by score desc, node_id limit 10")
+def q_interleave(spark, d):
+    return _fused(spark, d, "interleave")
+
+
+# Voting and hierarchical retrieval
+
+_LG = f"{_COS}, g as (select d.doc_id as node_id, c.score, c.label::varchar as entity, c.label::varchar || '/' || d.lang as timeline from documents d join cs c on d.doc_id = c.vec_id), el as (select entity as node_id, max(score) as score from g group by entity), tll as (select timeline as node_id, max(score) as score from g group by timeline)"
+_VOTES = f"with {_LG}, e as (select *, row_number() over (order by score desc, node_id) - 1 as r from el qualify r < 3), t as (select *, row_number() over (order by score desc, node_id) - 1 as r from tll qualify r < 5), v as (select *, row_number() over (order by score desc, node_id) - 1 as r from g qualify r < 20), votes as (select g.node_id as event_id, 'entity' as layer, 0.25::double as w, e.score * 0.7 as v, e.r from e join g on g.entity = e.node_id union all select g.node_id, 'timeline', 0.30, t.score * 0.9, t.r from t join g on g.timeline = t.node_id union all select node_id, 'event', 0.45, score, r from v)"
+
+
+def _layers(spark, d):
+    g = B.label_graph(spark, d)
+    el = g.groupBy(F.col("entity").alias("node_id")).agg(F.max("score").alias("score"))
+    tl = g.groupBy(F.col("timeline").alias("node_id")).agg(F.max("score").alias("score"))
+    return g, el, tl
+
+
+def _votes(spark, d):
+    g, el, tl = _layers(spark, d)
+    rank = lambda df, k: R.with_rank(R.top_k(df.select("node_id", "score"), k, order="node_id"), order="node_id")
+    return voting.collect_votes(rank(el, 3), rank(tl, 5), rank(g, 20), g.select(F.col("entity").alias("name"), F.col("node_id").alias("event_id")), g.select(F.col("timeline").alias("timeline_id"), F.col("node_id").alias("event_id")))
+
+
+def _elected(spark, d, mode):
+    out = voting.aggregate(_votes(spark, d), mode).withColumn("score", F.round("score", 6))
+    return R.top_k(out, 50, order="event_id").select("event_id", "vote_count", "score")
+
+
+@query(f"{_VOTES} select event_id, count(*) as vote_count, round(sum(w / (61 + r)), 6) as score from votes group by event_id order by score desc, event_id limit 50")
+def q_vote_rrf(spark, d):
+    return _elected(spark, d, "rrf")
+
+
+@query(f"{_VOTES} select event_id, count(*) as vote_count, round(sum(w * v), 6) as score from votes group by event_id order by score desc, event_id limit 50")
+def q_vote_weighted(spark, d):
+    return _elected(spark, d, "weighted")
+
+
+@query(f"{_VOTES} select event_id, count(*) as vote_count, round(least(count(*) / 10.0, 1)::double * 0.3 + avg(v) * 0.7, 6) as score from votes group by event_id order by score desc, event_id limit 50")
+def q_vote_count(spark, d):
+    return _elected(spark, d, "vote_count")
+
+
+@query(f"{_VOTES} select event_id, count(*) as vote_count, round(sum(w * (m + 1 - r)), 6) as score from (select *, max(r) over (partition by layer) as m from votes) group by event_id order by score desc, event_id limit 50")
+def q_vote_borda(spark, d):
+    return _elected(spark, d, "borda")
+
+
+_HIER = f"with {_LG}, e as (select *, row_number() over (order by score desc, node_id) - 1 as r from el qualify r < 3)"
+
+
+def _hier(spark, d, key, ranked, k):
+    g, el, tl = _layers(spark, d)
+    ents = R.with_rank(R.top_k(el, 3, order="node_id"), order="node_id").withColumnRenamed("node_id", "name")
+    edges = g.select(F.col("entity").alias("name"), F.col("node_id").alias("event_id"), F.col("timeline").alias("timeline_id"), F.col("ord")).select("name", key, "ord")
+    cands = voting.related(ents, edges, key).withColumn("seen", F.col(key))
+    every = R.with_rank((g if ranked == "g" else tl).select("node_id", "score"), order="node_id")
+    return voting.rescore(cands, every, key, k, least=0.05).select(key, "score")
+
+
+@query(f"{_HIER}, c as (select g.node_id from g join e on g.entity = e.node_id), a as (select node_id, score, row_number() over (order by score desc, node_id) - 1 as r from g) select c.node_id as event_id, coalesce(a.score, 0) as score from c left join a on a.node_id = c.node_id and a.r < (select count(*) from c) and a.score >= 0.05 order by score desc, event_id limit 20")
+def q_hier_events(spark, d):
+    return _hier(spark, d, "event_id", "g", 20)
+
+
+@query(f"{_HIER}, c as (select distinct g.timeline as node_id from g join e on g.entity = e.node_id), a as (select node_id, score, row_number() over (order by score desc, node_id) - 1 as r from tll) select c.node_id as timeline_id, coalesce(a.score, 0) as score from c left join a on a.node_id = c.node_id and a.r < (select count(*) from c) and a.score >= 0.05 order by score desc, timeline_id limit 10")
+def q_hier_timelines(spark, d):
+    return _hier(spark, d, "timeline_id", "t", 10)
+
+
+@query("select doc_id as event_id, round((case when contains(lower(text), 'the') then 1 else 0 end + case when contains(lower(text), 'theron') then 1 else 0 end + case when contains(lower(text), 'zzz') then 1 else 0 end) / 3.0::double, 6) as score from documents join embeddings on doc_id = vec_id where label = 3")
+def q_entity_context(spark, d):
+    g = B.label_graph(spark, d).where("entity = '3'").select("node_id")
+    events = B.nodes(spark, d).join(g, "node_id")
+    return graph.entity_context(events, F.col("text"), "the theron zzz").select(F.col("node_id").alias("event_id"), F.round("score", 6).alias("score"))
+
+
+# Graph
+
+
+@query(f"with {_TEV}, n as (select 'node' as kind, 'entity' as type, count(distinct user_id) as n from tev union all select 'node', 'event', count(*) from tev union all select 'node', 'timeline', count(*) from tl union all select 'edge', 'participates_in', count(*) from tev union all select 'edge', 'belongs_to', count(*) from pos union all select 'edge', 'has_timeline', count(*) from tl) select kind, type, sum(n)::bigint as n from n group by grouping sets ((kind, type), (kind))")
+def q_graph_stats(spark, d):
+    return B.graph(spark, d).stats()
+
+
+@query(f"with {_TEV} select timeline_id, count(*) as n, min(position) as first, max(position) as last from pos group by timeline_id")
+def q_edge_build(spark, d):
+    return B.graph(spark, d).belongs.groupBy("timeline_id").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+def _first_names(g, n=5):
+    return R.top_k(g.entities.withColumn("score", -F.col("ord")), n, order="name")
+
+
+_NAMES = "names as (select 'user' || user_id as name, user_id from tev group by user_id order by min(event_id), name limit 5)"
+
+
+@query(f"with {_TEV}, {_NAMES} select name, event_id, 'participant' as role, time_start from names join tev using (user_id)")
+def q_entity_events(spark, d):
+    g = B.graph(spark, d)
+    return g.entity_events(_first_names(g)).select("name", "event_id", "role", "time_start")
+
+
+@query(f"with {_TEV}, {_NAMES} select name, timeline_id from names join tl using (user_id)")
+def q_entity_timelines(spark, d):
+    g = B.graph(spark, d)
+    return g.entity_timelines(_first_names(g)).select("name", "timeline_id")
+
+
+@query(f"with {_TEV} select event_id, 'user' || user_id as name from tev")
+def q_event_entities(spark, d):
+    g = B.graph(spark, d)
+    return g.event_entities(g.events).select("event_id", "name")
+
+
+@query(f"with {_TEV} select event_id, timeline_id, position from pos")
+def q_event_timeline(spark, d):
+    g = B.graph(spark, d)
+    return g.event_timeline(g.events).select("event_id", "timeline_id", "position")
+
+
+@query(f"with {_TEV}, {_NAMES} select timeline_id, position, event_id from names join tl using (user_id) join pos using (timeline_id)")
+def q_timeline_events(spark, d):
+    g = B.graph(spark, d)
+    return g.timeline_events(g.entity_timelines(_first_names(g))).select("timeline_id", "position", "event_id")
+
+
+@query(f"with {_TEV} select timeline_id, 'user' || user_id as name from tl")
+def q_timeline_entity(spark, d):
+    g = B.graph(spark, d)
+    return g.timeline_entity(g.timelines).select("timeline_id", "name")
+
+
+@query(f"with {_TEV} select 'user' || user_id as name from tev where 'u' || user_id in ('u7') or 'user' || user_id = 'u7' group by user_id")
+def q_entities_by_name_exact(spark, d):
+    return B.graph(spark, d).entities_by_name("u7").select("name")
+
+
+@query("select c_name as name from customer where contains(lower(c_name), '#0000001')")
+def q_entities_by_name_fuzzy(spark, d):
+    c = B.table(spark, d, "customer")
+    return c.where(graph.name_matches(F.col("c_name"), F.array().cast("array<string>"), "#0000001", True)).select(F.col("c_name").alias("name"))
+
+
+@query(f"with {_TEV} select event_id, time_start from tev where substr(time_start, 1, 4)::int between 2025 and 2026")
+def q_year_range(spark, d):
+    return B.graph(spark, d).events_in_years("2025-03", "2026").select("event_id", "time_start")
+
+
+# Times
+
+_LOHI = "make_date(y, coalesce(m, 1), coalesce(d, 1)) as lo, case when d is not null then make_date(y, m, d) when m is not null then last_day(make_date(y, m, 1)) else make_date(y, 12, 31) end as hi"
+_BOUNDS = f"b as (select event_id, user_id, a.lo, coalesce(z.hi, a.hi) as hi from (select event_id, user_id, {_LOHI} from (select event_id, user_id, {_PARTS.format('time_start')} from tev)) a join (select event_id as e2, hi from (select event_id, {_LOHI} from (select event_id, {_PARTS.format('time_end')} from tev))) z on z.e2 = a.event_id)"
+
+
+def _bounds(spark, d):
+    e = B.tev(spark, d).withColumn("s", T.parse("time_start")).withColumn("e", T.parse("time_end"))
+    return e.select("event_id", "user_id", T.first_day("s").alias("lo"), F.coalesce(T.last_day("e"), T.last_day("s")).alias("hi"))
+
+
+@query(f"with {_TEV}, {_BOUNDS} select event_id from b where lo <= date '2025-06-30' and hi >= date '2025-06-01'")
+def q_interval_overlap(spark, d):
+    return _bounds(spark, d).where("lo <= date '2025-06-30' and hi >= date '2025-06-01'").select("event_id")
+
+
+@query(f"with {_TEV}, {_BOUNDS} select event_id from b where year(lo) <= 2026 and year(hi) >= 2026")
+def q_contains_year(spark, d):
+    return _bounds(spark, d).where((F.year("lo") <= 2026) & (F.year("hi") >= 2026)).select("event_id")
+
+
+@query(f"with {_TEV}, {_BOUNDS} select a.event_id as a_id, b2.event_id as b_id from b a join b b2 on a.user_id = b2.user_id and a.event_id < b2.event_id and a.lo <= b2.hi and b2.lo <= a.hi where a.lo > date '2027-06-01'")
+def q_implicit_period_join(spark, d):
+    b = _bounds(spark, d)
+    out = provenance.overlaps(b.where("lo > date '2027-06-01'").withColumnRenamed("event_id", "a_id"), b.withColumnRenamed("event_id", "b_id"), ["user_id"])
+    return out.where("a_id < b_id").select("a_id", "b_id")
+
+
+_BAD = "bad(k, s) as (values (1, null), (2, ''), (3, 'NULL'), (4, '2008'), (5, '2008-07'), (6, '2008-13'), (7, '2008-02-31'), (8, '2008/7/4'), (9, '20080704'), (10, 'circa 1999-7-4'), (11, '0999'), (12, '2150'), (13, 'summer 1984'), (14, '2008-7'), (15, '2008-7-45'), (16, 'x2008-12y'), (17, '2008-123'), (18, 'in 1987 and 1990'))"
+
+
+def _bad_times(spark, d):
+    bad = [(1, None), (2, ""), (3, "NULL"), (4, "2008"), (5, "2008-07"), (6, "2008-13"), (7, "2008-02-31"), (8, "2008/7/4"), (9, "20080704"), (10, "circa 1999-7-4"), (11, "0999"), (12, "2150"), (13, "summer 1984"), (14, "2008-7"), (15, "2008-7-45"), (16, "x2008-12y"), (17, "2008-123"), (18, "in 1987 and 1990")]
+    return spark.createDataFrame(bad, "k int, s string").unionByName(B.tev(spark, d).select((F.col("event_id") + 100).cast("int").alias("k"), F.col("time_start").alias("s")))
+
+
+_ALL_BAD = f"with {_TEV}, {_BAD}, r as (select k, s from bad union all select event_id::int + 100, time_start from tev)"
+_OK = r"(s is null or s = '' or lower(s) = 'null' or regexp_full_match(s, '\d{4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01]))?)?'))"
+
+
+@query(f"{_ALL_BAD} select k, {_OK} as valid from r")
+def q_time_validate(spark, d):
+    return _bad_times(spark, d).select("k", validate.is_valid(F.col("s")).alias("valid"))
+
+
+@query(_ALL_BAD + r""", x as (select k, s, regexp_extract(s, '(\d{4})-(\d{1,2})-(\d{1,2})', ['y', 'm', 'd']) as a, regexp_extract(s, '(\d{4})-(\d{1,2})(?:\D|$)', ['y', 'm']) as b, regexp_extract(s, '\b(\d{4})\b', 1) as c from r)
+select k, case when try_cast(a.m as int) between 1 and 12 and try_cast(a.d as int) between 1 and 31 then a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0') when try_cast(b.m as int) between 1 and 12 then b.y || '-' || lpad(b.m, 2, '0') when try_cast(c as int) between 1000 and 2100 then c end as found from x""")
+def q_time_extract(spark, d):
+    return _bad_times(spark, d).select("k", validate.extract(F.col("s")).alias("found"))
+
+
+@query(f"with {_TEV} select event_id, y, m, d, case when d is not null then 'day' when m is not null then 'month' else 'year' end as grain, time_start as text from (select event_id, time_start, {_PARTS.format('time_start')} from tev)")
+def q_temporal_parse(spark, d):
+    t = F.col("t")
+    return B.tev(spark, d).withColumn("t", T.parse("time_start")).select("event_id", t["year"].alias("y"), t["month"].alias("m"), t["day"].alias("d"), T.granularity(t).alias("grain"), T.to_text(t).alias("text"))
+
+
+def _shift(name, day, month, year):
+    return f"with {_TEV}, p as (select event_id, {_PARTS.format('time_start')} from tev) select event_id, case when d is not null then {day} when m is not null then {month} else {year} end as {name} from p"
+
+
+@query(_shift("moved", "strftime(make_date(y, m, d) + interval 31 month, '%Y-%m-%d')", "strftime(make_date(y, m, 1) + interval 31 month, '%Y-%m')", "null"))
+def q_add_months(spark, d):
+    return B.tev(spark, d).select("event_id", T.to_text(T.add_months(T.parse("time_start"), 31)).alias("moved"))
+
+
+@query(_shift("moved", "strftime(make_date(y, m, d) - interval 3 year, '%Y-%m-%d')", "strftime(make_date(y, m, 1) - interval 3 year, '%Y-%m')", "(y - 3)::varchar"))
+def q_add_years(spark, d):
+    return B.tev(spark, d).select("event_id", T.to_text(T.add_years(T.parse("time_start"), -3)).alias("moved"))
+
+
+@query(_shift("moved", "strftime(make_date(y, m, d) + interval 20 day, '%Y-%m-%d')", "null", "null"))
+def q_add_days(spark, d):
+    return B.tev(spark, d).select("event_id", T.to_text(T.add_days(T.parse("time_start"), 20)).alias("moved"))
+
+
+@query(f"with {_TEV}, p as (select event_id, {_PARTS.format('time_start')} from tev), z as (select event_id, {_PARTS.format('time_end')} from tev) select p.event_id, coalesce(z.y - p.y, 0) as years, coalesce(z.m - p.m, 0) as months, coalesce(z.d - p.d, 0) as days from p join z using (event_id) where z.y is not null")
+def q_date_diff_parts(spark, d):
+    e = B.tev(spark, d).where("time_end is not null")
+    return e.select("event_id", T.subtract(T.parse("time_end"), T.parse("time_start")).alias("x")).select("event_id", "x.years", "x.months", "x.days")
+
+
+@query("select o_orderkey, (o_orderdate::date - date '0001-01-01')::bigint + 1 as n from orders")
+def q_ordinal(spark, d):
+    t = T.parse(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    return B.table(spark, d, "orders").select("o_orderkey", T.ordinal(t).cast("long").alias("n"))
+
+
+# Duplicates and timelines
+
+_DESC = "user_id || ' ' || event_type"
+
+
+@query(f"with {_TEV} select min(event_id) as event_id from tev group by user_id, event_type, time_start")
+def q_dedupe_exact(spark, d):
+    e = B.tev(spark, d).select("event_id", "ord", F.col("user_id").alias("chunk_id"), F.col("event_type").alias("original_sentence"), F.col("time_start").alias("time_expression"), F.lit("").alias("event_description"))
+    return dedupe.exact(e).select("event_id")
+
+
+@query(f"""with recursive {_TEV}, ev as (select event_id, user_id as doc, lower(trim({_DESC})) as k, time_type as tt, time_start as s, time_end as e, length(time_start) - 1 as gs, case length(time_start) when 4 then 1 when 7 then 2 else 3 end + case length(time_end) when 4 then 1 when 7 then 2 when 10 then 3 else 0 end as sc, row_number() over (partition by user_id, event_type order by event_id) as rn from tev),
+f as (select doc, k, 1 as rn, [event_id] as heads, [struct_pack(h := event_id, id := event_id, sc := sc)] as got, [struct_pack(id := event_id, tt := tt, s := s, e := e)] as hd from ev where rn = 1
+ union all select doc, k, f.rn + 1, case when fit is null then list_append(heads, event_id) else heads end, list_append(got, struct_pack(h := coalesce(fit, event_id), id := event_id, sc := sc)), case when fit is null then list_append(hd, struct_pack(id := event_id, tt := tt, s := s, e := e)) else hd end
+ from (select f.*, ev.event_id, ev.tt, ev.s, ev.e, ev.sc, list_filter(f.hd, lambda h: h.tt = ev.tt and (starts_with(h.s, ev.s) or starts_with(ev.s, h.s)) and ((h.e is null and ev.e is null) or coalesce(starts_with(h.e, ev.e) or starts_with(ev.e, h.e), false)))[1].id as fit from f join ev on ev.doc = f.doc and ev.k = f.k and ev.rn = f.rn + 1) f),
+l as (select doc, k, got from f qualify row_number() over (partition by doc, k order by rn desc) = 1), u as (select unnest(got) as g from l)
+select arg_max(g.id, (g.sc, -g.id)) as event_id, count(*)::int as n_merged from u group by g.h""")
+def q_dedupe_overlap(spark, d):
+    e = B.tev(spark, d)
+    events = e.select(F.col("event_id").cast("string").alias("event_id"), "ord", F.col("user_id").alias("doc_id"), F.concat_ws(" ", F.col("user_id").cast("string"), "event_type").alias("event_description"), "time_type", "time_start", "time_end", F.lit("c").alias("chunk_id"))
+    return dedupe.overlapping(events).select(F.col("event_id").cast("long").alias("event_id"), "n_merged")
+
+
+@query(f"with {_TEV} select timeline_id, min(time_start) as time_span_start, max(coalesce(time_end, time_start)) as time_span_end from pos join tev using (event_id) group by timeline_id")
+def q_timeline_span(spark, d):
+    g = B.graph(spark, d)
+    s, e = timeline.span(F.col("time_start"), F.col("time_end"))
+    return g.belongs.join(g.events, "event_id").groupBy("timeline_id").agg(s, e)
+
+
+@query(f"with {_TEV} select event_id, ((row_number() over (partition by user_id order by time_start, event_id) - 1) // 20)::int as batch from tev")
+def q_timeline_batches(spark, d):
+    return timeline.batches(B.tev(spark, d).withColumnRenamed("user_id", "entity")).select("event_id", "batch")
+
+
+_TURNS = "t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as i, length(text) as n from conversations)"
+
+
+def _turns(spark, d):
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    c = B.table(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), "turn", (F.row_number().over(by) - 1).alias("chunk_index"), F.array(F.length("text")).alias("events"))
+
+
+def _prior(spark, d, mode):
+    out = timeline.prior_events(_turns(spark, d), mode, 3)
+    return out.select(F.col("doc_id").alias("conv_id"), "turn", F.size("prior").alias("n"), F.aggregate("prior", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"))
+
+
+@query(f"with {_TURNS} select conv_id, turn, count(n) over w::int as n, coalesce(sum(n) over w, 0)::bigint as chars from t window w as (partition by conv_id order by i rows between unbounded preceding and 1 preceding)")
+def q_prior_full(spark, d):
+    return _prior(spark, d, "full")
+
+
+@query(f"with {_TURNS} select a.conv_id, a.turn, count(b.n)::int as n, coalesce(sum(b.n), 0)::bigint as chars from t a left join t b on a.conv_id = b.conv_id and b.i < a.i and (b.i = 0 or b.i >= a.i - 3) group by all")
+def q_prior_sliding(spark, d):
+    return _prior(spark, d, "sliding")
+
+
+@query(f"with {_TURNS} select i::int as round, count(*) as n from t group by i")
+def q_chunk_batches(spark, d):
+    return timeline.rounds(_turns(spark, d)).groupBy(F.col("round").cast("int")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Provenance
+
+
+def _conv_chunks(spark, d):
+    c = B.table(spark, d, "conversations").where("turn % 5 <> 3")
+    return c.select(X.numbered(F.col("conv_id"), "chunk", F.col("turn").cast("int")).alias("chunk_id"), "role").dropDuplicates(["chunk_id"])
+
+
+_CHUNKS = "c as (select distinct conv_id, turn, conv_id::varchar || '-chunk-' || lpad(turn::varchar, 4, '0') as chunk_id from conversations where turn % 5 <> 3), i as (select *, turn - row_number() over (partition by conv_id order by turn) as g from c)"
+
+
+@query(f"with {_CHUNKS} select a.chunk_id as centre, b.chunk_id, (b.turn - a.turn)::int as offset from i a join i b on a.conv_id = b.conv_id and a.g = b.g and b.turn between a.turn - 2 and a.turn + 1")
+def q_surrounding_chunks(spark, d):
+    c = _conv_chunks(spark, d)
+    return provenance.surrounding(c, c, 2, 1).select("centre", "chunk_id", "offset")
+
+
+@query(f"with {_CHUNKS} select event_id, c.chunk_id from events join c on c.chunk_id = (event_id % 97)::varchar || '-chunk-' || lpad((event_id % 7)::varchar, 4, '0')")
+def q_events_to_chunks(spark, d):
+    e = B.tev(spark, d).select("event_id", "ord", X.numbered((F.col("event_id") % 97).cast("string"), "chunk", (F.col("event_id") % 7).cast("int")).alias("chunk_id"))
+    return provenance.event_chunks(e, _conv_chunks(spark, d)).select("event_id", "chunk_id")
+
+
+@query(f"with {_TEV}, {_COS}, h as (select vec_id as event_id, score, row_number() over (order by score desc, vec_id) - 1 as r from cs qualify r < 10), t as (select timeline_id, row_number() over (order by timeline_id) - 1 as r from (select timeline_id from tl order by timeline_id limit 3)), u as (select event_id, score, 0 as s, r, 0 as p from h union all select event_id, 0, 1, t.r, position from t join pos using (timeline_id)) select event_id, score from u qualify row_number() over (partition by event_id order by s, r, p) = 1")
+def q_merge_timeline_events(spark, d):
+    g = B.graph(spark, d)
+    hits = R.with_rank(R.top_k(B.scored_vectors(spark, d), 10)).select(F.col("node_id").alias("event_id"), "score", "rank")
+    lines = g.timelines.orderBy("timeline_id").limit(3).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("timeline_id")) - 1)
+    return provenance.expand_timelines(hits, lines, g.belongs).select("event_id", "score")
+
+
+# JSON and aggregates
+
+
+@query("select event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) as first from events")
+def q_json_props(spark, d):
+    key = F.element_at(F.json_object_keys("props"), 1)
+    return B.table(spark, d, "events").select("event_id", F.element_at(F.from_json("props", "map<string,string>"), key).alias("first"))
+
+
+@query(f"with {_TEV} select event_type, count(*) as n, min(time_start) as earliest, max(time_start) as latest, round(avg(substr(time_start, 1, 4)::int), 6) as mean_year, sum(substr(time_start, 1, 4)::int)::bigint as years from tev group by event_type")
+def q_subtask_aggs(spark, d):
+    y = T.year_prefix("time_start")
+    return B.tev(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("time_start").alias("earliest"), F.max("time_start").alias("latest"), F.round(F.avg(y), 6).alias("mean_year"), F.sum(y).alias("years"))
+
+
+@query(rf"with c(k, s) as (values (1, 'Alan Turing'), (2, 'Who was he?'), (3, 'he played for Ajax'), (4, 'who'), (5, 'one two three four five six seven eight nine ten eleven')) select k, k = 1 as single from c")
+def q_single_entity(spark, d):
+    rows = [(1, "Alan Turing"), (2, "Who was he?"), (3, "he played for Ajax"), (4, "who"), (5, "one two three four five six seven eight nine ten eleven")]
+    return spark.createDataFrame(rows, "k int, s string").select("k", X.is_single_entity("s").alias("single"))
+
+
+@query()
+def q_cluster_entities(spark, d):
+    v = B.vectors(spark, d)
+    mentions = v.select(F.col("node_id").alias("mention_id"), "ord", F.concat(F.lit("n"), "node_id").alias("name"), F.concat(F.lit("n"), "node_id").alias("canonical_name"), F.lit("").alias("description"), F.col("node_id").cast("string").alias("event_id"), "embedding", "label")
+    return cluster.summarise(cluster.clusters(mentions, least=0.35, block=["label"])).select("cluster_id", "canonical_name", "member_count")
