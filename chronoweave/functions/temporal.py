@@ -12,34 +12,43 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is named: the optimiser substitutes projections into
+    filters, and deep date expressions would multiply there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
+def _month_days(y: Column, m: Column) -> Column:
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
 def make(year, month=None, day=None) -> Column:
-    """A partial date, or null unless it is a calendar date from year 1 on."""
-    y, null = _col(year).cast("int"), F.lit(None).cast("int")
-    m = null if month is None else _col(month).cast("int")
-    d = null if day is None else _col(day).cast("int")
-    ok = y.between(1, 9999)
-    if month is not None:
-        ok = ok & m.between(1, 12)
-    if day is not None:
-        ok = ok & d.between(1, 31) & (d <= F.day(F.last_day(F.try_make_date(y, m, F.lit(1)) if hasattr(F, "try_make_date") else F.make_date(y, F.when(m.between(1, 12), m), F.lit(1)))))
-    return F.when(ok, F.struct(y.alias("year"), m.alias("month"), d.alias("day")))
+    """A partial date, or null unless it is a calendar date from year 1 on; a null day or month is none."""
+    null = F.lit(None).cast("int")
+    parts = F.struct(*[(null if c is None else _col(c).cast("int")).alias(k) for k, c in (("year", year), ("month", month), ("day", day))])
+
+    def checked(t: Column) -> Column:
+        y, m, d = t["year"], t["month"], t["day"]
+        return F.when(y.between(1, 9999) & (m.isNull() | m.between(1, 12)) & (d.isNull() | d.between(1, _month_days(y, m))), t)
+
+    return _let(parts, checked)
 
 
 def parse(c) -> Column:
     """Y-M-D and Y-M with - or /, YYYYMMDD, YYYYMM, YYYY; null where the text is something else or no date."""
-    s = strip(c)
+    pattern = r"^(\d{4})(?:[-/](\d{1,2})(?:[-/](\d{1,2}))?|(\d{2})(\d{2})?)?$"
 
-    def part(pattern: str, n: int) -> list[Column]:
-        return [F.regexp_extract(s, pattern, k + 1) for k in range(n)]
+    def read(s: Column) -> Column:
+        part = lambda k: F.nullif(F.regexp_extract(s, pattern, k), F.lit("")).cast("int")
+        return make(part(1), F.coalesce(part(2), part(4)), F.coalesce(part(3), part(5)))
 
-    full, month = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{4})[-/](\d{1,2})$"
-    day8, month6, year4 = r"^(\d{4})(\d{2})(\d{2})$", r"^(\d{4})(\d{2})$", r"^(\d{4})$"
-    return F.when(s.rlike(full), make(*part(full, 3))).when(s.rlike(month), make(*part(month, 2))).when(s.rlike(day8), make(*part(day8, 3))).when(s.rlike(month6), make(*part(month6, 2))).when(s.rlike(year4), make(*part(year4, 1)))
+    return _let(strip(c), read)
 
 
 def granularity(t) -> Column:
@@ -128,21 +137,22 @@ def year_prefix(c) -> Column:
 
 
 def first_day(t) -> Column:
-    t = _col(t)
-    return F.make_date(t["year"], F.coalesce(t["month"], F.lit(1)), F.coalesce(t["day"], F.lit(1)))
+    return _let(_col(t), lambda x: F.make_date(x["year"], F.coalesce(x["month"], F.lit(1)), F.coalesce(x["day"], F.lit(1))))
 
 
 def last_day(t) -> Column:
     """The last day that the partial date covers."""
-    t = _col(t)
-    return F.when(t["day"].isNotNull(), as_date(t)).otherwise(F.last_day(F.make_date(t["year"], F.coalesce(t["month"], F.lit(12)), F.lit(1))))
+    return _let(_col(t), lambda x: F.when(x["day"].isNotNull(), as_date(x)).otherwise(F.last_day(F.make_date(x["year"], F.coalesce(x["month"], F.lit(12)), F.lit(1)))))
 
 
 def compatible(a, b) -> Column:
     """Texts that may name one time: both null, equal, or one a coarser form of the other. Null and a value are not; what
     cannot be parsed must be equal."""
+    def both(p: Column) -> Column:
+        a, b, x, y = p["a"], p["b"], p["x"], p["y"]
+        agree = (x["year"] == y["year"]) & F.coalesce(x["month"] == y["month"], F.lit(True)) & F.coalesce(x["day"] == y["day"], F.lit(True))
+        none_a, none_b = a.isNull() | (a == ""), b.isNull() | (b == "")
+        return F.when(none_a | none_b, none_a & none_b).when(x.isNull() | y.isNull(), a == b).otherwise(agree)
+
     a, b = _col(a), _col(b)
-    x, y = parse(a), parse(b)
-    agree = (x["year"] == y["year"]) & F.coalesce(x["month"] == y["month"], F.lit(True)) & F.coalesce(x["day"] == y["day"], F.lit(True))
-    none_a, none_b = a.isNull() | (a == ""), b.isNull() | (b == "")
-    return F.when(none_a | none_b, none_a & none_b).when(x.isNull() | y.isNull(), a == b).otherwise(agree)
+    return _let(F.struct(a.alias("a"), b.alias("b"), parse(a).alias("x"), parse(b).alias("y")), both)

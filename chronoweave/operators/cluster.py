@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def greedy(order: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
@@ -42,7 +43,7 @@ def clusters(mentions: DataFrame, *, least: float = 0.85, block: list[str] | Non
         x = np.stack(frame["embedding"].to_numpy()).astype(float)
         return frame.assign(_local=greedy(frame["ord"].to_numpy(), x, least))
 
-    schema = one.schema.add("_local", "int")
+    schema = T.StructType([*one.schema.fields, T.StructField("_local", T.IntegerType())])
     labelled = one.groupBy(*(keys or ["_all"])).applyInPandas(run, schema)
     names = keys or ["_all"]
     first = labelled.groupBy(*names, "_local").agg(F.min("ord").alias("_first"))

@@ -1,0 +1 @@
+"""From questions to plans, and from plans to results."""

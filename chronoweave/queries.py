@@ -414,17 +414,17 @@ def _shift(name, day, month, year):
 
 @query(_shift("moved", "strftime(make_date(y, m, d) + interval 31 month, '%Y-%m-%d')", "strftime(make_date(y, m, 1) + interval 31 month, '%Y-%m')", "null"))
 def q_add_months(spark, d):
-    return B.tev(spark, d).select("event_id", T.to_text(T.add_months(T.parse("time_start"), 31)).alias("moved"))
+    return B.tev(spark, d).withColumn("t", T.parse("time_start")).withColumn("t", T.add_months("t", 31)).select("event_id", T.to_text("t").alias("moved"))
 
 
 @query(_shift("moved", "strftime(make_date(y, m, d) - interval 3 year, '%Y-%m-%d')", "strftime(make_date(y, m, 1) - interval 3 year, '%Y-%m')", "(y - 3)::varchar"))
 def q_add_years(spark, d):
-    return B.tev(spark, d).select("event_id", T.to_text(T.add_years(T.parse("time_start"), -3)).alias("moved"))
+    return B.tev(spark, d).withColumn("t", T.parse("time_start")).withColumn("t", T.add_years("t", -3)).select("event_id", T.to_text("t").alias("moved"))
 
 
 @query(_shift("moved", "strftime(make_date(y, m, d) + interval 20 day, '%Y-%m-%d')", "null", "null"))
 def q_add_days(spark, d):
-    return B.tev(spark, d).select("event_id", T.to_text(T.add_days(T.parse("time_start"), 20)).alias("moved"))
+    return B.tev(spark, d).withColumn("t", T.parse("time_start")).withColumn("t", T.add_days("t", 20)).select("event_id", T.to_text("t").alias("moved"))
 
 
 @query(f"with {_TEV}, p as (select event_id, {_PARTS.format('time_start')} from tev), z as (select event_id, {_PARTS.format('time_end')} from tev) select p.event_id, coalesce(z.y - p.y, 0) as years, coalesce(z.m - p.m, 0) as months, coalesce(z.d - p.d, 0) as days from p join z using (event_id) where z.y is not null")
