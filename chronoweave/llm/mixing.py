@@ -12,7 +12,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: The mix has this share of all words; no source gives more than MAX_EPOCHS times its own.
 SHARE, MAX_EPOCHS = 1.5, 2.0
 #: Words in a block, and documents in a shard (about).
-BLOCK_WORDS, SHARD_DOCS = 8, 20_000
+BLOCK_WORDS, SHARD_DOCS = 8, 1_000
 
 
 def words(text):
