@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, Saved, small, text_batches
 from .mixing import words
@@ -17,10 +18,9 @@ MIN_WORDS = 50
 _LAST = (1 << 63) - 1
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _key() -> tuple[Column, Column]:
     """A document is its id (null: last) and its text's hash; repeated rows are one document."""
-    text = F.col("text").cast("string")
-    return docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("k2", F.xxhash64(text))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(F.col("text").cast("string"))
 
 
 def _ranked(df: DataFrame, by: list[str], name: str) -> Saved:
@@ -88,8 +88,9 @@ def removals(docs: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[Saved, int
     """What leaves each document: rows (k1, k2, spans array of (start, size) or null for the whole text), and the number
     of spans. A line leaves if it lies in a run of adjacent lines, of min_words or more in all, whose equal stands
     earlier in the order of (doc_id, text hash, line)."""
-    keyed = _keyed(docs)
+    k1, k2 = _key()
     text = F.col("text").cast("string")
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     slim = Saved(keyed.select("k1", "k2", F.xxhash64(text, F.lit(1)).alias("k3"), words(text).alias("w")).where(F.col("w") >= min_words), "texts")
     firsts = slim.df.groupBy("k2", "k3").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last")
     copies = Saved(slim.df.join(firsts, ["k2", "k3"]).where("k1 > first").select("k1", "k2").distinct(), "copies")
@@ -132,37 +133,43 @@ def clean(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     based, comma-joined). The first copy of every run stays; texts of fewer words, null and empty ones (0 lines if null)
     stay as they are. Repeated rows (same id and text) are one document and share its decisions; rows of the same id
     and other texts are documents of their own; a null id comes last. Other columns, whatever their names, are kept
-    (but for k1, k2 and those with _). An empty table gives none. Texts are not shuffled while the spans are few
+    (but for those that begin with _). An empty table gives none. Texts are not shuffled while the spans are few
     (BROADCAST_ROWS), beyond that they are joined by shuffling; the result is the same."""
     text_batches(docs.sparkSession)
+    columns = docs.columns
     found, n = removals(docs, min_words=min_words)
 
-    @F.pandas_udf("text string, n long, removed string")
-    def rebuilt(texts, spans, hit):
-        import pandas as pd
-
-        out = []
-        for text, span, there in zip(texts, spans, hit, strict=True):
-            if not there or text is None:
-                out.append((None, 0, ""))
-                continue
-            lines = text.split("\n")
-            gone = np.zeros(len(lines) + 1, np.int64)
-            for s in span if span is not None else [{"start": 0, "size": len(lines)}]:
-                gone[s["start"]] += 1
-                gone[s["start"] + s["size"]] -= 1
-            dead = np.cumsum(gone[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], dead.view(np.int8), [0]])))
-            ranges = ",".join(f"{a}-{z - 1}" for a, z in zip(edges[::2], edges[1::2], strict=True))
-            out.append(("\n".join(x for x, d in zip(lines, dead, strict=True) if not d), int(dead.sum()), ranges))
-        return pd.DataFrame(out, columns=["text", "n", "removed"])
+    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, removed, ranges = [], [], []
+            for value, spans, hit in zip(b.column("_text"), b.column("_spans"), b.column("_hit"), strict=True):
+                text = value.as_py()
+                kept, n, where = _without(text, spans.as_py()) if hit.as_py() and text is not None else (text, 0, "")
+                texts.append(kept), removed.append(n), ranges.append(where)
+            own = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, b.column("_n_lines"), pa.array(removed, pa.int64()), pa.array(ranges, pa.string())], names=[*columns, "_n_lines", "_n_removed", "_removed"])
 
     text = F.col("text").cast("string")
-    marked = _keyed(docs).join(small(found.df.withColumn("_hit", F.lit(True)), n, BROADCAST_ROWS), ["k1", "k2"], "left")
-    fixed = marked.withColumn("_r", rebuilt(F.when(F.col("_hit"), text), F.col("spans"), F.coalesce("_hit", F.lit(False))))
+    k1, k2 = _key()
+    hits = found.df.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"), F.lit(True).alias("_hit"))
+    marked = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(small(hits, n, BROADCAST_ROWS), ["_k1", "_k2"], "left")
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    fixed = fixed.withColumn("_n_lines", n_lines).withColumn("_n_removed", F.col("_r.n")).withColumn("_removed", F.col("_r.removed"))
-    return fixed.withColumn("text", F.when(F.col("_hit"), F.col("_r.text")).otherwise(text)).select(*docs.columns, "_n_lines", "_n_removed", "_removed")
+    rows = marked.select(*docs.columns, text.alias("_text"), "_spans", F.coalesce("_hit", F.lit(False)).alias("_hit"), n_lines.alias("_n_lines"))
+    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
+    return rows.mapInArrow(rebuilt, T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_removed", T.StringType())]))
+
+
+def _without(text: str, spans: list[dict] | None) -> tuple[str, int, str]:
+    """The text less the lines of the spans (null: all), how many left, and their ranges."""
+    lines = text.split("\n")
+    gone = np.zeros(len(lines) + 1, np.int64)
+    for s in spans if spans is not None else [{"start": 0, "size": len(lines)}]:
+        gone[s["start"]] += 1
+        gone[s["start"] + s["size"]] -= 1
+    dead = np.cumsum(gone[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], dead.view(np.int8), [0]])))
+    ranges = ",".join(f"{a}-{z - 1}" for a, z in zip(edges[::2], edges[1::2], strict=True))
+    return "\n".join(x for x, d in zip(lines, dead, strict=True) if not d), int(dead.sum()), ranges
 
 
 def report(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_batches
 
@@ -140,14 +141,16 @@ def score_documents(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     sent = spark.sparkContext.broadcast(model)
+    rows = docs.drop("quality_score").withColumn("_quality_text", F.col("text").cast("string"))
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        return pd.Series(sent.value.score(np.stack([features(t) for t in texts])) if len(texts) else [], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(v.as_py()) for v in b.column(b.num_columns - 1)]
+            score = sent.value.score(np.stack(x)) if x else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "quality_score"])
 
-    return docs.withColumn("quality_score", scored(F.col("text").cast("string")))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("quality_score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
