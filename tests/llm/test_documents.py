@@ -1,0 +1,193 @@
+"""Operators on documents against plain versions: line runs, near copies, BPE, quality, personal data, mixing, rollups."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chronoweave.llm import bpe, linesuffix, mixing, omh, pii, quality, rollups
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string"
+
+
+def frame(spark, rows):
+    """rows of (doc_id, text, source); with a column of a clashing name."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x") for i, t, s in rows], DOCS)
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (3, "a b c", None), (3, "a b c", None), (None, "x y", "b"), (4, "w " * 5000, "b"), (5, " \n\t", "b")]
+
+
+def test_line_runs_equal_brute_force(spark):
+    rnd = random.Random(5)
+    lines = ["a b c", "d", "", "e f", "g h i j"]
+    docs = [(i, "\n".join(rnd.choices(lines, k=rnd.randint(1, 12)))) for i in range(40)]
+    docs += [(100, docs[3][1]), (101, "x\n" + docs[5][1])]
+    first = {}
+    for i, t in docs:
+        rows = t.split("\n")
+        for a in range(len(rows)):
+            for z in range(a + 1, len(rows) + 1):
+                first.setdefault(tuple(rows[a:z]), (i, a))
+    found = {r.doc_id: r for r in linesuffix.report(frame(spark, [(i, t, "s") for i, t in docs]), min_words=8).collect()}
+    for i, t in docs:
+        rows, want = t.split("\n"), set()
+        for a in range(len(rows)):
+            for z in range(a + 1, len(rows) + 1):
+                run = rows[a:z]
+                if sum(len(x.split()) for x in run) >= 8 and first[tuple(run)] < (i, a):
+                    want |= set(range(a, z))
+        got = {k for part in found[i].removed.split(",") if part for k in range(int(part.split("-")[0]), int(part.split("-")[1]) + 1)}
+        assert got == want, i
+
+
+def test_line_edges(spark):
+    assert linesuffix.report(frame(spark, ODD), min_words=3).count() == len(ODD)
+    assert linesuffix.report(frame(spark, []).limit(0)).count() == 0
+    long = "\n".join(f"word{k} again and more" for k in range(30))
+    out = linesuffix.drop_repeats(frame(spark, [(1, long, "s"), (2, long, "s"), (3, "own line of text", "s")]))
+    assert out.columns == DOCS.replace(",", "").split(" ")[::2]
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def near(text, rnd, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[rnd.randrange(len(w))] = f"edit{rnd.randrange(1000)}"
+    return " ".join(w)
+
+
+def test_near_copies(spark):
+    rnd = random.Random(1)
+    base = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(150)) for _ in range(12)]
+    docs = [(k, t) for k, t in enumerate(base)] + [(100 + k, near(t, rnd, 1 + k % 3)) for k, t in enumerate(base)] + [(200, base[0]), (201, None), (202, ""), (203, None)]
+    want = {}
+    seqs = {i: omh.shingles((t or "").split()) for i, t in docs}
+    for i, _ in sorted(docs):
+        same = [j for j in want if len(seqs[i]) and len(seqs[j]) and omh.similarity(seqs[i], seqs[j])]
+        want[i] = min((want[j] for j in same), default=i)
+    got = {r.doc_id: r.class_id for r in omh.near_copies(frame(spark, [(i, t, "s") for i, t in docs])).collect()}
+    assert got == want
+    kept = omh.keep_one(frame(spark, [(1, base[0], "s"), (1, base[0], "s"), (2, base[0], "s"), (3, None, "s")]))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert omh.near_copies(frame(spark, []).limit(0)).count() == 0
+
+
+def test_similarity_by_definition():
+    a, b = (omh.shingles(t.split()) for t in ("a b c d e f g h i j", "a b c d e f g h i x"))
+    assert omh.similarity(a, b, 0.5) == pytest.approx(5 / 7)
+    assert omh.similarity(a, a) == 1.0
+    assert omh.similarity(a, omh.shingles("q r s".split())) == 0.0
+    assert len(set(omh.shingles(["a"] * 20).tolist())) == 16
+
+
+def test_bpe_is_tiktokens(spark):
+    path, pattern = bpe.public_rank_file()
+    enc = bpe.codec(bpe.load_ranks(path), pattern)
+    rnd = random.Random(3)
+    atoms = ["a", "B", "é", " ", "\n", "\x1c", "\xa0", "9", "'s", "!", "中", "　", "́", "😀", "  "]
+    for _ in range(500):
+        text = "".join(rnd.choices(atoms, k=rnd.randint(0, 60)))
+        want = enc.encode_ordinary(text)
+        assert [i for p in bpe.parts(text, 3) for i in enc.encode_ordinary(p)] == want
+        assert bpe._encode_run(enc, text, pattern) == want
+    for text in ("a" * 300_000, " " * 300_000, "ab " * 100_000, "é" * 200_000):
+        assert bpe.decode(enc, bpe.encode(enc, text, pattern)) == text.encode()
+    out = {r.doc_id: r for r in bpe.encode_documents(frame(spark, ODD), path, pattern).collect()}
+    assert out[1].n_tokens == 0 and out[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    assert bytes(out[4].decoded) == ("w " * 5000).encode() and out[4].ids == enc.encode_ordinary("w " * 5000)
+
+
+def test_quality(spark):
+    rnd = random.Random(2)
+    good = [(i, " ".join(rnd.choice(("the", "tree", "runs", "over", "hill.")) for _ in range(60)), "s") for i in range(200)]
+    bad = [(i, "BUY!! " * 60, "s") for i in range(200, 300)]
+    docs = frame(spark, good + bad + [(900, None, "s"), (901, "", "s")])
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    assert len(rows) == 302
+    for i, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    held = [i for i in range(300) if rows[i].held_out]
+    assert np.mean([rows[i].predicted == int(i < 200) for i in held]) > 0.95
+    alone = quality.judged(docs, labels.where("quality = 1"))
+    assert {r.predicted for r in alone.collect()} == {1}
+
+
+def test_base_spans_equal_plain_patterns():
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and pii.luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    }
+    rnd = random.Random(2)
+    atoms = ["a", "Z", "1", "0", "255", "256", "4444", ".", "-", " ", "@", "+", "(", ")", "%", "é", "@@", ".1", "\n", "+1 (555) 555-1234", "4111111111111111", "1.2.3.4", "a@b.c", "00255"]
+    for _ in range(5000):
+        text = "".join(rnd.choices(atoms, k=rnd.randint(0, 16)))
+        assert pii.base_spans(text) == {k: [m.span() for m in re.finditer(p, text) if ok(m[0])] for k, (p, ok) in rules.items()}
+
+
+def test_pii_model_and_edges(spark):
+    x, y = pii.examples(1500, seed=77)
+    hit = pii.model().probability(x) >= pii.model().threshold
+    assert hit[y == 1].mean() > 0.9 and y[hit].mean() > 0.95
+    rows = {r.doc_id: r for r in pii.find(frame(spark, [*ODD, (9, "write to john.doe at example dot com now", "s")]), with_text=True).collect()}
+    assert rows[1].spans == "" and rows[1].redacted is None
+    assert rows[9].n_email == 0 and rows[9].redacted == "write to <email> now"
+    for text in ("1" * 200_000, "a@" * 100_000, "1." * 100_000):
+        pii.base_spans(text)
+
+
+def test_mixing(spark):
+    docs = [(i, " ".join(["w"] * (20 + i % 50)), f"s{i % 4}" if i % 5 else "hot") for i in range(400)]
+    rows = mixing.plan_mix(frame(spark, docs + ODD)).collect()
+    assert len(rows) == len(docs) + len(ODD)
+    total = sum(r.size for r in rows)
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        by.setdefault(r.source, []).append(r)
+    assert sum(v[0].target for v in by.values()) == pytest.approx(1.5 * total)
+    for v in by.values():
+        assert v[0].source_size == sum(r.size for r in v) and v[0].target <= 2 * v[0].source_size + 1e-9
+        assert abs(sum(r.taken for r in v) - v[0].target) <= 16
+    again = mixing.plan_mix(frame(spark, docs + ODD).repartition(7)).collect()
+    key = lambda r: (str(r.doc_id), str(r.source), r.size, r.taken)
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    mixed = mixing.mix(frame(spark, docs + ODD))
+    assert mixed.columns == DOCS.replace(",", "").split(" ")[::2]
+    assert mixed.agg(F.sum(mixing.words(F.col("text")))).first()[0] == sum(r.taken for r in rows)
+    assert mixing.mix(frame(spark, []).limit(0)).count() == 0
+
+
+def test_sainte_lague_gives_highest_quotients(spark):
+    shares = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.0)]
+    rows = spark.createDataFrame(shares, "source string, v double")
+    for seats in (0, 1, 7, 50):
+        got = {r.source: r.quota for r in mixing.apportion(rows, [], F.col("v"), F.lit(seats), [F.col("source")]).collect()}
+        quotients = sorted((-v / (2 * k + 1), s) for s, v in shares for k in range(seats + 1) if v)[:seats]
+        assert got == {s: sum(q[1] == s for q in quotients) for s, _ in shares}
+
+
+def test_rollup_counts_each_batch_once(spark, tmp_path):
+    store = rollups.TokenRollup(spark, str(tmp_path / "r"))
+    row = lambda *r: spark.createDataFrame([r], "source string, lang string, tokenizer string, docs long, tokens long")
+    assert store.totals().count() == 0
+    assert store.commit("a", row("s", "en", "t1", 1, 10))
+    assert not store.commit("a", row("s", "en", "t1", 1, 10))
+    assert store.commit("b", row("s", "en", "t1", 0, -3)) and store.commit("c", row(None, "en", "t1", 1, 5))
+    want = {("s", 1, 7), (None, 1, 5)}
+    assert {(r.source, r.n_docs, r.n_tokens) for r in store.totals().collect()} == want
+    store.compact()
+    assert {(r.source, r.n_docs, r.n_tokens) for r in store.totals().collect()} == want
+    assert not store.commit("b", row("s", "en", "t1", 0, -3))
+    assert store.commit("d", row("s", "en", "t1", -1, -7))
+    assert {(r.source, r.n_docs) for r in store.totals().collect()} == {(None, 1)}
+    assert rollups.corpus_rollup(frame(spark, ODD)).count() > 0
