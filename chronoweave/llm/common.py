@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most about 64 bytes that may be broadcast: 32 MB at most. Larger sides are joined by shuffling.
 BROADCAST_ROWS = 500_000
-#: Rows in one Arrow batch of texts; whole texts may be long, so batches stay small.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch of texts; whole texts may be long, so batches stay small.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 256, "4m"
 
 _opened: dict[str, SparkSession] = {}
 
@@ -70,7 +70,8 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as one text may have megabytes."""
+    """Arrow batches of few rows and bytes, as one text may have megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 

@@ -6,7 +6,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ class _WordIds(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return h
@@ -141,19 +140,22 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, c1 long, c2 long, n long, keys array<long>, marks binary")
 
 
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether the sketches' picks overlap by half: pairs at 0.8 overlap by about 0.78 +- 0.06. Texts of few shingles
-    always pass."""
-    if not len(a):
-        return pd.Series([], dtype="bool")
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, SKETCHES, PICKS)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, SKETCHES, PICKS)
-    met = (x[:, :, :, None] == y[:, :, None, :]).any(3).mean((1, 2))
-    return pd.Series(met >= 0.45)
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, ma, mb) to the pairs whose sketches' picks overlap by nearly half: pairs at 0.8 overlap by about
+    0.78 +- 0.06. Texts of few shingles always pass."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), np.uint8).reshape(-1, SKETCHES, PICKS) for c in ("ma", "mb"))
+            met = (x[:, :, :, None] == y[:, :, None, :]).any(3).mean((1, 2))
+            few = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()) < 3 * PICKS
+            yield batch.select(["a", "b"]).filter(pa.array(few | (met >= 0.45)))
 
 
-def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sa, sb) to the pairs whose alignment reaches SIMILARITY."""
+    for batch in batches:
+        found = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) > 0 for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -172,11 +174,11 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
     fit = pairs.distinct().join(left, "a").join(right, "b").where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9)
-    fit = Saved(fit.where((F.least("na", "nb") < 3 * PICKS) | F.pandas_udf(_alike, "boolean")("ma", "mb")).select("a", "b"), "pairs")
+    fit = Saved(fit.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_alike, "a long, b long"), "pairs")
     wanted = Saved(fit.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     seq = Saved(_sequences(docs, wanted.df, wanted.count()), "sequences")
     both = fit.df.join(seq.df.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(seq.df.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    links = Saved(both.withColumn("sim", F.pandas_udf(_aligned, "double")("sa", "sb")).where(F.col("sim") > 0).select("a", "b"), "links")
+    links = Saved(both.select("a", "b", "sa", "sb").mapInArrow(_aligned, "a long, b long"), "links")
     for t in (fit, wanted, seq):
         t.drop()
     return links.df
