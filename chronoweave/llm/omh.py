@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Saved, components, small, text_batches
@@ -17,8 +17,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches (tables), and shingles in one sketch. At similarity s a sketch agrees with probability near s^PICKS, so a
 #: pair at 0.8 misses all tables once in 100,000 times.
 SKETCHES, PICKS = 16, 3
-#: Neighbours that a row is compared with in a bucket where it isn't linked to the centre, and rounds of new centres.
-NEIGHBOURS, ROUNDS = 7, 3
+#: Texts, and shingles of them, in a block: a bucket of several classes is compared block by block.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20)
@@ -184,14 +184,113 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return links.df
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, Saved]:
+def _lists(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Per row of the batch: its i and j, and the named fields of its list `rows` as arrays."""
+    rows = batch.column("rows")
+    at, fields = rows.offsets.to_numpy(), []
+    for name in names:
+        f = rows.values.field(name)
+        if pa.types.is_list(f.type):
+            fields.append(f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1))
+        elif name == "marks":
+            fields.append(np.frombuffer(b"".join(f.to_pylist()), np.uint8).reshape(-1, SKETCHES, PICKS))
+        elif name == "s":
+            fields.append([np.frombuffer(v, np.uint64) for v in f.to_pylist()])
+        else:
+            fields.append(f.to_numpy(zero_copy_only=False))
+    for lo, hi, i, j in zip(at[:-1], at[1:], batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+        yield (i, j, *[f[lo:hi] for f in fields])
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Block pairs (t, key, i, j, rows) to their texts that some text of another class may be linked with, by lengths and
+    sketches. A pair counts in the first table that it meets in."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(7)]
+        tables, names = batch.column("t").to_pylist(), batch.column("key").to_pylist()
+        for at, (i, j, rep, root, n, b, keys, marks) in enumerate(_lists(batch, "rep", "root", "n", "b", "keys", "marks")):
+            fit = np.triu(root[:, None] != root[None, :], 1)
+            fit &= np.minimum(n[:, None], n[None, :]) >= SIMILARITY * np.maximum(n[:, None], n[None, :]) - 1e-9
+            if i != j:
+                fit &= b[:, None] != b[None, :]
+            x, y = np.nonzero(fit)
+            alive = np.zeros(len(rep), bool)
+            for lo in range(0, len(x), 4096):
+                u, v = x[lo : lo + 4096], y[lo : lo + 4096]
+                first = (keys[u, : tables[at]] != keys[v, : tables[at]]).all(1)
+                u, v = u[first], v[first]
+                met = (marks[u][:, :, :, None] == marks[v][:, :, None, :]).any(3).mean((1, 2))
+                hope = (met >= 0.45) | (np.minimum(n[u], n[v]) < 3 * PICKS)
+                alive[u[hope]] = alive[v[hope]] = True
+            hit = np.flatnonzero(alive)
+            for column, values in zip(out, ([tables[at]] * len(hit), [names[at]] * len(hit), [i] * len(hit), [j] * len(hit), b[hit].tolist(), rep[hit].tolist(), root[hit].tolist()), strict=True):
+                column += values
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["t", "key", "i", "j", "b", "rep", "root"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Block pairs (i, j, rows) to links (a, b) that join all their classes that links join: every pair of two classes
+    is compared until links found before connect it, those of most shared shingles first."""
+    for batch in batches:
+        left, right = [], []
+        for i, j, rep, root, b, s in _lists(batch, "rep", "root", "b", "s"):
+            sizes = np.array([len(v) for v in s])
+            if len(s) < 2:
+                continue
+            terms = np.unique(np.concatenate(s), return_inverse=True)[1]
+            starts = np.cumsum(sizes) - sizes
+            shared, there = np.zeros((len(s), len(s)), np.int64), np.zeros(terms.max() + 1, np.int64)
+            for k in range(len(s)):
+                own = terms[starts[k] : starts[k] + sizes[k]]
+                there[own] = 1
+                shared[k] = np.add.reduceat(there[terms], starts)
+                there[own] = 0
+            total = sizes[:, None] + sizes[None, :]
+            # an alignment has at most the shared shingles
+            fit = np.triu(shared >= SIMILARITY / (1 + SIMILARITY) * total - 1e-9, 1) & (root[:, None] != root[None, :])
+            if i != j:
+                fit &= b[:, None] != b[None, :]
+            x, y = np.nonzero(fit)
+            label = np.unique(root, return_inverse=True)[1]
+            for k in np.argsort(-shared[x, y] / total[x, y], kind="stable").tolist():
+                u, v = x[k], y[k]
+                if label[u] != label[v] and similarity(s[u], s[v]) > 0:
+                    label[label == label[v]] = label[u]
+                    left.append(int(rep[u])), right.append(int(rep[v]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _across(docs: DataFrame, reps: DataFrame, buckets: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) that join the classes left by `links` wherever two texts of a bucket are linked."""
+    comp = Saved(components(links), "components")
+    rooted = Saved(buckets.join(comp.df.withColumnRenamed("node", "rep"), "rep", "left").select("t", "key", "rep", "n", F.coalesce("component", "rep").alias("root")), "rooted")
+    m = F.count(F.lit(1))
+    blocks = F.ceil(F.least(m, F.greatest(m / block, F.sum("n") / BLOCK_SHINGLES))).cast("int").alias("blocks")
+    mixed = Saved(rooted.df.groupBy("t", "key").agg(blocks, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t", "key", "blocks"), "mixed")
+    placed = rooted.df.join(small(mixed.df, mixed.count()), ["t", "key"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.join(reps.select("rep", "keys", "marks"), "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = ["t", "key", "i", "j"]
+    placed = placed.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    lists = placed.groupBy(*pair).agg(F.collect_list(F.struct("rep", "root", "n", "b", "keys", "marks")).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    left = Saved(lists.select(*pair, "rows").mapInArrow(_hopeful, "t int, key long, i int, j int, b int, rep long, root long"), "hopeful")
+    wanted = Saved(left.df.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    seq = Saved(_sequences(docs, wanted.df, wanted.count()), "sequences")
+    full = left.df.join(seq.df.select(F.col("id").alias("rep"), "s"), "rep").groupBy(*pair).agg(F.collect_list(F.struct("rep", "root", "b", "s")).alias("rows"))
+    found = Saved(full.select("i", "j", "rows").mapInArrow(_joined, "a long, b long"), "links")
+    for t in (comp, rooted, mixed, left, wanted, seq):
+        t.drop()
+    return found.df
+
+
+def classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Saved]:
     """Per row of docs: doc_id, class_id, and whether it has words; and the sketches' table, whose rows are docs'.
 
     Texts of the same words are one text, named by its smallest id, so copies meet no further. In every bucket of equal
-    sketches each text is compared with the bucket's centre (its smallest id; one row a text, so nothing grows with a
-    bucket's square). Where texts of a bucket then belong to several classes, one of each class goes on: each is compared
-    with the NEIGHBOURS next in length (all pairs, in small buckets) and with new centres, for ROUNDS rounds, every pair
-    once. Classes are connected components over verified links."""
+    sketches each text is compared with the bucket's centre (its smallest id). Where texts of a bucket then belong to
+    several classes, all pairs of texts of two classes are compared: as pairs of blocks of bounded size, each a row of
+    its own, first by lengths and sketches, then, among texts left with a partner, by alignment. Block pairs give links
+    that join classes, never all pairs. Classes are connected components over verified links."""
     rows = Saved(sketches(docs), "sketches")
     named = rows.df.where("n > 0 and doc_id is not null")
     firsts = named.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n", "keys", "marks")).alias("f"))
@@ -201,29 +300,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, Saved]:
     buckets = Saved(exploded.join(shared, ["t", "key"]), "buckets")
     star = buckets.df.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     links = _verified(docs, reps.df, star)
-    tried = Saved(star.distinct(), "tried")
-    for turn in range(ROUNDS):
-        comp = Saved(components(links), "components")
-        rooted = buckets.df.join(comp.df.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
-        roots = Saved(rooted.groupBy("t", "key", "root").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"), F.col("n"))).alias("x")).select("t", "key", "root", F.col("x.rep").alias("rep"), F.col("x.n").alias("n")), "roots")
-        open_ = roots.df.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"))).alias("c")).where("m > 1")
-        there = roots.df.join(open_.select("t", "key", F.col("c.rep").alias("centre")), ["t", "key"])
-        by_length = Window.partitionBy("t", "key").orderBy("n", "rep")
-        near = F.array(F.col("centre"), *[F.lead("rep", i).over(by_length) for i in range(1, NEIGHBOURS + 1)])
-        met = there.withColumn("near", near).select("rep", F.explode(F.array_distinct(F.array_compact("near"))).alias("other")).where("rep <> other")
-        new = Saved(met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tried.df, ["a", "b"], "left_anti"), "new-pairs")
-        comp.drop(), roots.drop()
-        if not new.count():
-            break
-        more = _verified(docs, reps.df, new.df)
-        n_more = more.count()
-        links = links.unionByName(more)
-        tried2 = Saved(tried.df.unionByName(new.df), "tried")
-        tried.drop(), new.drop()
-        tried = tried2
-        if not n_more and turn:
-            break
-    tried.drop(), buckets.drop()
+    links = links.unionByName(_across(docs, reps.df, buckets.df.drop("centre"), links, block))
+    buckets.drop()
     comp = components(links).withColumnRenamed("node", "rep")
     final = Saved(reps.df.select("c1", "c2", "rep").join(comp, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("cls")), "classes")
     reps.drop()

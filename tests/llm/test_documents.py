@@ -77,6 +77,22 @@ def test_near_copies(spark):
     assert omh.near_copies(frame(spark, []).limit(0)).count() == 0
 
 
+def test_near_copies_of_one_original_in_the_middle_of_the_ids(spark):
+    rnd = random.Random(4)
+    w = [f"w{k}" for k in range(304)]
+    docs = [(500, " ".join(w))]
+    for i in [*range(300, 500), *range(501, 701)]:
+        mine = list(w)
+        for k in range(5):  # every edit hides five shingles: 275 of 325 are shared with the original, fewer than 0.8 with others
+            mine[8 + 60 * k + rnd.randrange(45)] = f"edit{i}-{k}"
+        docs.append((i, " ".join(mine)))
+    seqs = {i: omh.shingles(t.split()) for i, t in docs}
+    assert all(omh.similarity(seqs[500], s) for s in seqs.values())
+    assert sum(omh.similarity(seqs[300], s) > 0 for s in seqs.values()) < 20
+    found, _ = omh.classes(frame(spark, [(i, t, "s") for i, t in docs]), block=32)
+    assert {r.class_id for r in found.collect()} == {300}
+
+
 def test_similarity_by_definition():
     a, b = (omh.shingles(t.split()) for t in ("a b c d e f g h i j", "a b c d e f g h i x"))
     assert omh.similarity(a, b, 0.5) == pytest.approx(5 / 7)
