@@ -16,6 +16,8 @@ from .vectors import list_batches, matrix, unit, usable
 TABLES, PROBES = 8, 16
 #: Vectors, and queries, in one block of a cell.
 BLOCK = 512
+#: Pairs whose exact products are computed at once.
+PAIRS = 16_384
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -79,14 +81,16 @@ def _nearest(k: int):
                 q, x = matrix(mine.values.field("v")), matrix(there.values.field("v"))
                 near = q @ x.T
                 near[q_ids[:, None] == x_ids[None, :]] = -np.inf
-                m = min(k + 4, len(x_ids))  # some more, as rounding may swap what is almost equal
-                top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(x_ids) else np.tile(np.arange(m), (len(q), 1))
-                exact = inner(q[:, None, :], x[top])
-                exact[q_ids[:, None] == x_ids[top]] = -np.inf
-                order = np.lexsort((x_ids[top], -exact), axis=1)[:, :k]
-                ids, s = np.take_along_axis(x_ids[top], order, 1), np.take_along_axis(exact, order, 1)
-                ok = s > -np.inf
-                query.append(np.repeat(q_ids, ok.sum(1))), vec.append(ids[ok]), score.append(s[ok])
+                kth = -np.partition(-near, k - 1, axis=1)[:, k - 1] if k < len(x_ids) else np.full(len(q), -np.inf)
+                # all within what rounding may have moved, so that ties at the cut are decided by exact products and ids
+                slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
+                with np.errstate(invalid="ignore"):
+                    row, col = np.nonzero((near > -np.inf) & (near >= np.where(np.isfinite(kth), kth - slack, kth)[:, None]))
+                exact = np.concatenate([np.zeros(0), *(inner(q[row[lo : lo + PAIRS]], x[col[lo : lo + PAIRS]]) for lo in range(0, len(row), PAIRS))])
+                order = np.lexsort((x_ids[col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+                query.append(q_ids[row[ok]]), vec.append(x_ids[col[ok]]), score.append(exact[ok])
             arrays = [np.concatenate(a) if a else np.zeros(0) for a in (query, vec, score)]
             yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 

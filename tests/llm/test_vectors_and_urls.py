@@ -61,6 +61,16 @@ def test_neighbours_recall_and_edges(spark):
     assert crosspoly.nearest(few.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
+def test_neighbours_of_hundreds_of_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 16)), 300, 0), rng.standard_normal((100, 16))]).astype(np.float32)
+    ids = rng.permutation(400)
+    df = frame(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)])
+    asked = int(max(ids[:300]))
+    got = [r.vec_id for r in crosspoly.nearest(df, F.col("id") == asked, 20).orderBy("rank").collect()]
+    assert got == sorted(ids[:300].tolist())[:20]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
