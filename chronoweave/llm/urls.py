@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +37,61 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return p.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
+def _without_dots(p):
+    """A path without its segments . and .. (RFC 3986, 5.2.4)."""
+    parts = F.split(p, "/")
+    empty = F.array().cast("array<string>")
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(empty)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), empty, step)
+    end = F.when(p.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(p)
+
+
 def resource(url):
-    """A URL without its fragment: what redirects and canonical links lead to."""
-    return F.regexp_replace(url, r"#(?s:.*)$", "")
+    """A URL without its fragment, scheme and host lower-cased (A-Z), without dot segments: what redirects and canonical
+    links lead to. Without :// only the fragment goes."""
+    bare = F.regexp_replace(url, r"#(?s:.*)$", "")
+    part = lambda k: F.regexp_extract(bare, r"^([^:/?#]+://[^/?#]*)([^?]*)((?s:.*))$", k)
+    return F.when(bare.rlike(r"^[^:/?#]+://"), F.concat(F.translate(part(1), _UPPER, _LOWER), _without_dots(part(2)), part(3))).otherwise(bare)
+
+
+def decoded(text):
+    """An attribute's text with its HTML entities, named or by number, as characters."""
+    pieces = F.regexp_extract_all(text, F.lit(r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=]))|[^&]+|&"), F.lit(0))
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def one(x):
+        digits = F.regexp_extract(x, r"^&#[xX]?0*([0-9a-fA-F]{1,7});?$", 1)
+        code = F.conv(digits, 16, 10).cast("long")
+        code = F.when(x.rlike("^&#[xX]"), code).otherwise(F.regexp_extract(x, r"^&#0*([0-9]{1,7});?$", 1).try_cast("long"))
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code)), 8, "0")), "UTF-32")
+        named = F.element_at(names, F.substring(x, 2, 64))
+        return F.coalesce(F.when(x.startswith("&#"), char).when(x.startswith("&"), named), x)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def resolved(ref, url):
+    """A reference against its page's url (RFC 3986, 5.2), not yet named as a resource."""
+    base = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
+    own = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.when(own == "", F.lit("/")).otherwise(F.regexp_extract(own, r"^((?s:.*)/)", 1))
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(F.regexp_extract(url, r"^([^:/?#]+:)", 1), ref))
+        .when((ref == "") | ref.startswith("#"), url)
+        .when(base == "", F.lit(None).cast("string"))
+        .when(ref.startswith("/"), F.concat(base, ref))
+        .when(ref.startswith("?"), F.concat(base, own, ref))
+        .otherwise(F.concat(base, folder, ref))
+    )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): resources of a page and of the targets of its canonical links and refresh redirects, which are absolute
-    or begin with / (then the page's scheme and host are put before them)."""
+    """(a, b): resources of a page and of the targets of its canonical links and refresh redirects, decoded and
+    resolved against the page's url."""
     html = F.col("html").cast("string")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     found = pages.where("url is not null").where(F.lower(html).rlike("canonical|refresh")).select("url", F.explode(tags).alias("tag"))
@@ -49,10 +99,13 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     canonical = F.when(low.rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b"), F.regexp_extract(low, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0))
     refresh = F.when(low.rlike(r"(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract(low, r"(?is)\burl\s*=\s*['\"]?([^'\">\s]+)", 1))
     href = F.regexp_replace(F.regexp_replace(canonical, r"(?is)^href\s*=\s*", ""), "^[\"']|[\"']$", "")
-    to = F.trim(F.coalesce(href, refresh))
-    base = F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*)", 1)
-    to = F.when(to.rlike("^//"), F.concat(F.regexp_extract("url", r"^([^:/?#]+:)", 1), to)).when(to.startswith("/"), F.concat(base, to)).otherwise(to)
-    return found.select(resource(F.col("url")).alias("a"), resource(to).alias("b")).where(r"b rlike '^[^:/?#]+://' and a <> b").distinct()
+    # an explode after each step, or the optimizer would copy every step into all places where the next one uses it
+    step = lambda df, name, c, *keep: df.select(*keep, F.explode(F.array(c)).alias(name))
+    found = step(found, "raw", F.coalesce(href, refresh), "url").where("raw is not null")
+    found = step(found, "ref", F.regexp_replace(decoded(F.col("raw")), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", ""), "url")
+    found = step(found, "to", resolved(F.col("ref"), F.col("url")), "url")
+    found = step(step(found, "b", resource(F.col("to")), "url"), "a", resource(F.col("url")), "b")
+    return found.select("a", "b").where(r"b rlike '^[^:/?#]+://' and a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, extra_edges: DataFrame | None = None) -> DataFrame:

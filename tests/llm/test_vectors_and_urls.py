@@ -93,3 +93,26 @@ def test_blocks_reach_aliases_but_not_explicit_allows(spark):
     rows = [(r.page_id, r.rule, r.verdict) for r in urls.judge(df).collect()]
     assert len(rows) == 8 and set(rows) == {(1, None, "block"), (2, None, "block"), (3, "org/fr/", "allow"), (4, "example.net/en/", "allow"), (5, None, "allow"), (6, None, "allow"), (7, None, "allow")}
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_references_are_resolved_and_resources_named_alike(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a.org/b/c/d;p?q"
+    refs = ["g", "./g", "g/", "/g", "//g.org", "?y", "g?y", ";x", "", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g?y/../x"]
+    rows = [(r, base, urljoin(base, r)) for r in refs] + [("g", "http://a.org", "http://a.org/g"), ("http://X.org/a/../b", base, "http://x.org/b")]
+    for r in spark.createDataFrame(rows, "ref string, url string, want string").withColumn("to", urls.resource(urls.resolved(F.col("ref"), F.col("url")))).collect():
+        assert r.to == r.want, r
+    texts = ["a&amp;b", "&#38;&#x26;&#128512;&lt", "&copy=1&copy;&nosuch;&", "plain"]
+    got = [r.d for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", urls.decoded(F.col("t")).alias("d")).orderBy("k").collect()]
+    assert got == ["a&b", "&&😀<", "&copy=1©&nosuch;&", "plain"]
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    pages = [
+        (1, "https://a.org/x/1.html", link("page2.html")),
+        (2, "https://a.org/x/page2.html", link("../y?p=1&amp;q=2")),
+        (3, "HTTPS://A.org/y?p=1&q=2", link("https://B.net/z")),
+        (4, "https://a.org/y", '<meta http-equiv="refresh" content="0; url=?p=1&amp;q=2">'),
+        (5, "https://a.org/other", link("?p=3")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
