@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of at most about 64 bytes that may be broadcast: 32 MB at most. Larger sides are joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -18,10 +20,13 @@ _opened: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset and all runs in one
+    process (master local, as in tests) it is a new local folder; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chronoweave-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="chronoweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -70,14 +75,27 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows and bytes, as one text may have megabytes."""
+    """Arrow batches of few rows and bytes, as one text may have megabytes. The two settings stay lowered in the
+    session, as plans read them when they run, which may be after the caller has the DataFrame."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, TEXT_BATCH_ROWS) if rows > 0 else TEXT_BATCH_ROWS))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected edges (a, b), both long and not null: rows (node, component), the
-    component being its smallest node. Randomised contraction: in every round each node moves to the neighbour (or
+    """Connected components of the undirected edges (a, b), of one type (long, string or binary) and not null: rows
+    (node, component), the component being its smallest node. Randomised contraction: in every round each node moves to the neighbour (or
     itself) of the smallest salted hash, and the edges are rewritten between these, which leaves a constant share of
     the nodes, so rounds grow with the logarithm of the nodes also on long chains. A hub vanishes in its first round;
     every minimum is combined before its shuffle. Edges and maps are tables in the shared folder; loops and repeated
@@ -101,7 +119,8 @@ def components(edges: DataFrame) -> DataFrame:
         level = after
     level.drop()
     if not moves:
-        return spark.createDataFrame([], "node long, component long")
+        kind = edges.schema["a"].dataType
+        return spark.createDataFrame([], T.StructType([T.StructField(c, kind) for c in ("node", "component")]))
     found = moves[-1].df.select(F.col("a").alias("node"), F.col("to").alias("root"))
     for move in reversed(moves[:-1]):
         # nodes that a later round does not know have reached their root

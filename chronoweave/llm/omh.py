@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Saved, components, small, text_batches
+from .common import BROADCAST_ROWS, Saved, components, fresh, small, text_batches
 
 #: Words in a shingle; least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -119,22 +120,27 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return found if found >= least - 1e-12 else 0.0
 
 
+def _named(tokens: list[str]) -> tuple[int, int]:
+    """128 bits of the words, as two longs."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_intdigest(" ".join(tokens).encode("utf-8", "replace"))
+    return (digest >> 64) - (1 << 63), (digest & _MASK) - (1 << 63)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, c1 and c2 (128 bits of its words), n (shingles), keys array<long>, marks binary."""
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
             c1, c2, n, keys, marks = [], [], [], [], []
             for value in b.column(1):
                 tokens = (value.as_py() or "").split()
-                digest = xxhash.xxh3_128_intdigest(" ".join(tokens).encode("utf-8", "replace"))
+                x, y = _named(tokens)
                 s = shingles(tokens)
                 k, m = sketch(s) if len(s) else (np.zeros(0, np.int64), b"")
-                c1.append((digest >> 64) - (1 << 63)), c2.append((digest & _MASK) - (1 << 63))
-                n.append(len(s)), keys.append(k), marks.append(m)
+                c1.append(x), c2.append(y), n.append(len(s)), keys.append(k), marks.append(m)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "c1", "c2", "n", "keys", "marks"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, c1 long, c2 long, n long, keys array<long>, marks binary")
@@ -158,14 +164,24 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def _sequences(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _sequences(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> Saved:
+    """(id, s): the shingles of the texts `wanted` (rep) as bytes. Documents are found by their id, texts among equal ids
+    by their words."""
+    texts = Saved(reps.join(wanted, "rep").select("rep", "doc_id", "c1", "c2"), "wanted")
+    n = texts.count()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shingles((v.as_py() or "").split()).tobytes() for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["id", "s"])
+            tokens = [(v.as_py() or "").split() for v in b.column(1)]
+            names = [_named(t) for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([shingles(t).tobytes() for t in tokens], pa.binary())], names=["c1", "c2", "s"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(small(wanted, n, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
+    read = rows.join(small(texts.df.select("doc_id").distinct(), n, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(run, "c1 long, c2 long, s binary")
+    found = read.join(small(texts.df.drop("doc_id"), n, BROADCAST_ROWS), ["c1", "c2"]).select(F.col("rep").alias("id"), "s")
+    out = Saved(found.dropDuplicates(["id"]), "sequences")
+    texts.drop()
+    return out
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -175,8 +191,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
     fit = pairs.distinct().join(left, "a").join(right, "b").where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9)
     fit = Saved(fit.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_alike, "a long, b long"), "pairs")
-    wanted = Saved(fit.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    seq = Saved(_sequences(docs, wanted.df, wanted.count()), "sequences")
+    wanted = Saved(fit.df.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    seq = _sequences(docs, reps, wanted.df)
     both = fit.df.join(seq.df.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(seq.df.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     links = Saved(both.select("a", "b", "sa", "sb").mapInArrow(_aligned, "a long, b long"), "links")
     for t in (fit, wanted, seq):
@@ -274,8 +290,8 @@ def _across(docs: DataFrame, reps: DataFrame, buckets: DataFrame, links: DataFra
     placed = placed.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
     lists = placed.groupBy(*pair).agg(F.collect_list(F.struct("rep", "root", "n", "b", "keys", "marks")).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     left = Saved(lists.select(*pair, "rows").mapInArrow(_hopeful, "t int, key long, i int, j int, b int, rep long, root long"), "hopeful")
-    wanted = Saved(left.df.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    seq = Saved(_sequences(docs, wanted.df, wanted.count()), "sequences")
+    wanted = Saved(left.df.select("rep").distinct(), "wanted")
+    seq = _sequences(docs, reps, wanted.df)
     full = left.df.join(seq.df.select(F.col("id").alias("rep"), "s"), "rep").groupBy(*pair).agg(F.collect_list(F.struct("rep", "root", "b", "s")).alias("rows"))
     found = Saved(full.select("i", "j", "rows").mapInArrow(_joined, "a long, b long"), "links")
     for t in (comp, rooted, mixed, left, wanted, seq):
@@ -284,30 +300,38 @@ def _across(docs: DataFrame, reps: DataFrame, buckets: DataFrame, links: DataFra
 
 
 def classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Saved]:
-    """Per row of docs: doc_id, class_id, and whether it has words; and the sketches' table, whose rows are docs'.
-
-    Texts of the same words are one text, named by its smallest id, so copies meet no further. In every bucket of equal
-    sketches each text is compared with the bucket's centre (its smallest id). Where texts of a bucket then belong to
-    several classes, all pairs of texts of two classes are compared: as pairs of blocks of bounded size, each a row of
-    its own, first by lengths and sketches, then, among texts left with a partner, by alignment. Block pairs give links
-    that join classes, never all pairs. Classes are connected components over verified links."""
+    """Per row of docs: doc_id, c1 and c2 (its words), n (shingles), class_id, and first: whether it may stand for its
+    class (its text and id are the class's first); and the sketches' table, whose rows are docs'.
+
+    Texts of the same words are one text with a number of its own, so copies meet no further and rows of one id may be
+    different texts. Each text is compared with one centre: the smallest number that shares a bucket of equal sketches
+    with it. Where texts of a bucket then belong to several classes, all pairs of texts of two classes are compared:
+    as pairs of blocks of bounded size, each a row of its own, first by lengths and sketches, then, among texts left
+    with a partner, by alignment. Block pairs give links that join classes, never all pairs. Classes are connected
+    components over verified links, named by their smallest doc_id."""
     rows = Saved(sketches(docs), "sketches")
     named = rows.df.where("n > 0 and doc_id is not null")
     firsts = named.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n", "keys", "marks")).alias("f"))
-    reps = Saved(firsts.select("c1", "c2", F.col("f.doc_id").alias("rep"), F.col("f.n").alias("n"), F.col("f.keys").alias("keys"), F.col("f.marks").alias("marks")), "texts")
+    number = F.monotonically_increasing_id().alias("rep")
+    reps = Saved(firsts.select(number, "c1", "c2", F.col("f.doc_id").alias("doc_id"), F.col("f.n").alias("n"), F.col("f.keys").alias("keys"), F.col("f.marks").alias("marks")), "texts")
     exploded = reps.df.select("rep", "n", F.posexplode("keys").alias("t", "key"))
     shared = exploded.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).where("m > 1").drop("m")
     buckets = Saved(exploded.join(shared, ["t", "key"]), "buckets")
-    star = buckets.df.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    star = buckets.df.groupBy("rep").agg(F.min("centre").alias("centre")).where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     links = _verified(docs, reps.df, star)
     links = links.unionByName(_across(docs, reps.df, buckets.df.drop("centre"), links, block))
     buckets.drop()
     comp = components(links).withColumnRenamed("node", "rep")
-    final = Saved(reps.df.select("c1", "c2", "rep").join(comp, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("cls")), "classes")
+    joined = Saved(reps.df.select("c1", "c2", "rep", "doc_id").join(comp, "rep", "left").withColumn("cls", F.coalesce("component", "rep")).drop("component"), "joined")
     reps.drop()
+    least = joined.df.groupBy("cls").agg(F.min(F.struct("doc_id", "rep")).alias("l"))
+    final = Saved(joined.df.join(least, "cls").select("c1", "c2", F.col("l.doc_id").alias("cls"), (F.col("rep") == F.col("l.rep")).alias("first")), "classes")
+    joined.drop()
     out = rows.df.select("doc_id", "c1", "c2", "n").join(final.df, ["c1", "c2"], "left")
     ok = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    return out.select("doc_id", F.when(ok, F.coalesce("cls", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), (F.col("n") > 0).alias("has_words")), rows
+    class_id = F.when(ok, F.coalesce("cls", "doc_id")).otherwise(F.col("doc_id"))
+    first = F.when(ok, F.coalesce(F.col("first") & (F.col("doc_id") == F.col("cls")), F.lit(True))).otherwise(F.lit(True))
+    return out.select("doc_id", "c1", "c2", "n", class_id.alias("class_id"), first.alias("first")), rows
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -315,20 +339,39 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Linked are texts whose five-word shingles, aligned in order, agree to 0.8 or more of their union; fewer than five
     words must be equal. Texts without words (null, empty, blank) and rows without an id link with nothing and are kept,
-    class_id being their own id. Rows of one id are one document: all kept, or none. An empty table gives no rows."""
+    class_id being their own id. Rows of one id may be different texts; each has its own text's class. An empty table
+    gives no rows."""
     found, _ = classes(docs)
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))
     return found.select("doc_id", "class_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, with the same columns, less all but one document of each class; of repeated rows (same id) one stays."""
+    """docs, with the same columns, less all rows but one of each class: a row of the smallest id. Rows of one id and
+    different texts are judged each by its own text; rows of one id and the same words are one row; rows without an id
+    all stay."""
     text_batches(docs.sparkSession)
-    gone = Saved(near_copies(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    rest = docs.join(small(gone.df, gone.count()), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    twice = Saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("_id"), "twice")
-    n = twice.count()
-    if not n:
+    found, rows = classes(docs)
+    id_, own, a, b, x, y = fresh(docs, "id", "own", "c1", "c2", "x", "y")
+    known = Saved(found.where("doc_id is not null"), "known")
+    times = known.df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("first").alias("first"))
+    gone = Saved(times.where("m = 1 and not first").select(F.col("doc_id").alias(id_)), "gone")
+    twice = Saved(times.where("m > 1").select(F.col("doc_id").alias(id_)), "twice")
+    n_gone, n_twice = gone.count(), twice.count()
+    key = F.col("doc_id").cast("long")
+    rest = docs.join(small(gone.df, n_gone), key == F.col(id_), "left_anti")
+    if not n_twice:
         return rest
-    once = rest.join(small(twice.df, n), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    return once.unionByName(rest.join(small(twice.df, n), F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    at = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = [_named((v.as_py() or "").split()) for v in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([u for u, _ in named], pa.int64()), pa.array([v for _, v in named], pa.int64())], names=[*batch.schema.names[:-1], a, b])
+
+    many = docs.join(small(twice.df, n_twice), key == F.col(id_), "left_semi").withColumn(own, F.col(docs.columns[at]).cast("string"))
+    many = many.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(a, T.LongType()), T.StructField(b, T.LongType())]))
+    firsts = known.df.where("first").join(small(twice.df, n_twice), F.col("doc_id") == F.col(id_)).select(id_, F.col("c1").alias(x), F.col("c2").alias(y)).distinct()
+    kept = many.join(firsts, (key == F.col(id_)) & (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_semi")
+    once = rest.join(small(twice.df, n_twice), key == F.col(id_), "left_anti")
+    return once.unionByName(kept.dropDuplicates(["doc_id", a, b]).drop(a, b))
