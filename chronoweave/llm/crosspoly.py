@@ -50,21 +50,23 @@ def cells(x: np.ndarray, table: int, probes: int) -> np.ndarray:
 
 
 def _hashed(rows: DataFrame, tables: int, probes: int, all_cells: bool = False) -> DataFrame:
-    """rows (id, v) to (id, v, d, t, cell), a row for every probed cell. all_cells: each cell of the first table."""
+    """rows (id, least, v) with d, t and cell, a row for every probed cell. all_cells: each cell of the first table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths = np.array([len(v) for v in b.column(1)])
+            vectors = b.column("v")
+            lengths = np.array([len(v) for v in vectors])
             for d in np.unique(lengths):
                 at = np.flatnonzero(lengths == d)
-                x = matrix(b.column(1).take(pa.array(at)))
+                x = matrix(vectors.take(pa.array(at)))
                 found = [np.arange(2 * rotated(x[:1], 0).shape[1])[None, :].repeat(len(x), 0)] if all_cells else [cells(x, t, probes) for t in range(tables)]
-                row = np.concatenate([np.repeat(at, f.shape[1]) for f in found])
+                row = pa.array(np.concatenate([np.repeat(at, f.shape[1]) for f in found]))
                 t = np.concatenate([np.full(f.size, k) for k, f in enumerate(found)])
                 cell = np.concatenate([f.ravel() for f in found])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(np.full(len(row), d), pa.int32()), pa.array(t, pa.int32()), pa.array(cell, pa.int32())], names=["id", "v", "d", "t", "cell"])
+                places = [pa.array(x, pa.int32()) for x in (np.full(len(row), d), t, cell)]
+                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), *places], names=[*b.schema.names, "d", "t", "cell"])
 
-    return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, d int, t int, cell int")
+    return rows.select("id", "least", "v").mapInArrow(run, "id long, least long, v array<double>, d int, t int, cell int")
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -73,63 +75,87 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _nearest(k: int):
+    """Pairs of blocks (queries, vectors) to the k best vectors of the block for each of its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            query, vec, score = [], [], []
+            out: list[list] = [[], [], [], []]
             for mine, there in zip(b.column("queries"), b.column("vectors"), strict=True):
-                q_ids, x_ids = (s.values.field("id").to_numpy(zero_copy_only=False) for s in (mine, there))
+                q_ids = mine.values.field("id").to_numpy(zero_copy_only=False)
+                x_ids, least = (there.values.field(c).to_numpy(zero_copy_only=False) for c in ("id", "least"))
                 q, x = matrix(mine.values.field("v")), matrix(there.values.field("v"))
                 near = q @ x.T
-                near[q_ids[:, None] == x_ids[None, :]] = -np.inf
                 kth = -np.partition(-near, k - 1, axis=1)[:, k - 1] if k < len(x_ids) else np.full(len(q), -np.inf)
                 # all within what rounding may have moved, so that ties at the cut are decided by exact products and ids
                 slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
                 with np.errstate(invalid="ignore"):
-                    row, col = np.nonzero((near > -np.inf) & (near >= np.where(np.isfinite(kth), kth - slack, kth)[:, None]))
+                    row, col = np.nonzero(near >= np.where(np.isfinite(kth), kth - slack, kth)[:, None])
                 exact = np.concatenate([np.zeros(0), *(inner(q[row[lo : lo + PAIRS]], x[col[lo : lo + PAIRS]]) for lo in range(0, len(row), PAIRS))])
-                order = np.lexsort((x_ids[col], -exact, row))
+                order = np.lexsort((x_ids[col], least[col], -exact, row))
                 row, col, exact = row[order], col[order], exact[order]
                 ok = np.arange(len(row)) - np.searchsorted(row, row) < k
-                query.append(q_ids[row[ok]]), vec.append(x_ids[col[ok]]), score.append(exact[ok])
-            arrays = [np.concatenate(a) if a else np.zeros(0) for a in (query, vec, score)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+                for column, values in zip(out, (q_ids[row[ok]], x_ids[col[ok]], least[col[ok]], exact[ok]), strict=True):
+                    column.append(values)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            arrays = [pa.array(np.concatenate(a) if a else np.zeros(0), t) for a, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["q", "x", "least", "score"])
 
     return run
 
 
 def _search(queries: DataFrame, index: DataFrame, k: int, block: int) -> DataFrame:
-    """queries and index: (id, v, d, t, cell). The k best of every block of a cell for the queries that probe it."""
+    """queries and index: (id, least, v, d, t, cell). The k best of every block of a cell for the queries that probe it."""
     keys = ["d", "t", "cell"]
     count = F.count(F.lit(1)).alias("m")
     n_vectors = Saved(index.groupBy(*keys).agg(count).select(*keys, F.ceil(F.col("m") / block).cast("int").alias("xb")), "cells")
     n_queries = Saved(queries.groupBy(*keys).agg(count).select(*keys, F.ceil(F.col("m") / block).cast("int").alias("qb")), "cells")
     x = index.join(small(n_vectors.df, n_vectors.count()), keys).withColumn("x", F.pmod(F.xxhash64("id"), F.col("xb")).cast("int"))
     q = queries.join(small(n_queries.df, n_queries.count()), keys).withColumn("q", F.pmod(F.xxhash64("id"), F.col("qb")).cast("int"))
-    x = x.groupBy(*keys, "x").agg(F.collect_list(F.struct("id", "v")).alias("vectors"))
+    x = x.groupBy(*keys, "x").agg(F.collect_list(F.struct("id", "least", "v")).alias("vectors"))
     q = q.groupBy(*keys, "q").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     with list_batches(queries.sparkSession):
-        return Saved(q.join(x, keys).select("queries", "vectors").mapInArrow(_nearest(k), "query_id long, vec_id long, score double"), "near").df
+        out = Saved(q.join(x, keys).select("queries", "vectors").mapInArrow(_nearest(k), "q long, x long, least long, score double"), "near").df
+    n_vectors.drop(), n_queries.drop()
+    return out
 
 
 def nearest(vectors: DataFrame, is_query, k: int, *, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """For each row of vectors (vec_id, embedding) with is_query (a column over id): its k nearest among the other rows
+    """For each row of vectors (vec_id, embedding) with is_query (a column over id): its k nearest among all other rows
     by inner product: query_id, rank (from 1), vec_id, score; nearest first, ties to the smaller vec_id.
 
-    Unit vectors are hashed to the nearest signed axis of `tables` pseudo-random rotations; every row is indexed in all
-    tables, a query looks into its `probes` nearest axes in each, and what it meets is ranked by the exact inner product
-    of the original vectors in double precision. Approximate: recall is measured in the tests. A query that meets fewer
-    than k rows looks into all cells of the first table, that is at every row of its length. Cells are split into
-    blocks, so none grows with a hot cell; each gives a query k rows at most. Vectors that are null, empty, zero or not
-    finite take no part; vectors of other lengths are no candidates; rows of one id count once, and are no candidates
-    for each other. An empty table gives no rows."""
-    good = Saved(usable(vectors).select("id", "v").dropDuplicates(["id"]), "vectors")
-    asked = good.df.where(is_query)
-    index = Saved(_hashed(good.df, tables, 1), "index")
-    found = _search(_hashed(asked, tables, probes), index.df, k, block).distinct()
-    counts = Saved(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= k).select(F.col("query_id").alias("id")), "served")
-    short = Saved(asked.join(counts.df, "id", "left_anti"), "short")
+    Equal vectors are one class, which lists its k + 1 rows of the smallest ids, so a vector that very many rows share
+    is met once. Unit vectors are hashed to the nearest signed axis of `tables` pseudo-random rotations; every class is
+    indexed in all tables, a query looks into its `probes` nearest axes in each, and what it meets is ranked by the exact
+    inner product of the original vectors in double precision; the best k + 1 classes (its own may be one) hold its k
+    nearest rows. Approximate: recall is measured in the tests. A query that meets fewer classes than that looks into all
+    cells of the first table, that is at every class of its length. Cells are split into blocks, so none grows with a
+    hot cell; each gives a query k + 1 classes at most. Vectors that are null, empty, zero or not finite take no part;
+    vectors of other lengths are no candidates. Rows that share an id are rows of their own: each is a candidate, and
+    each that asks gets its own answer. An empty table gives no rows."""
+    good = Saved(usable(vectors).select("id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
+    distinct = good.df.groupBy("v").agg(F.min("id").alias("least"))
+    classes = Saved(distinct.select(F.monotonically_increasing_id().alias("cls"), "v", "least"), "classes")
+    rows = Saved(good.df.join(classes.df.select("cls", "v"), "v").select("cls", "id", "row"), "rows")
+    good.drop()
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("id", "row"))
+    members = rows.df.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    asked = rows.df.where(is_query)
+    named = classes.df.select(F.col("cls").alias("id"), "least", "v")
+    wanted = Saved(named.join(asked.select(F.col("cls").alias("id")).distinct(), "id"), "wanted")
+    index = Saved(_hashed(named, tables, 1), "index")
+    found = _search(_hashed(wanted.df, tables, probes), index.df, k + 1, block).distinct()
+    served = found.groupBy("q").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > k).select(F.col("q").alias("id"))
+    short = Saved(wanted.df.join(served, "id", "left_anti"), "short")
     if short.df.limit(1).count():
-        found = found.unionByName(_search(_hashed(short.df, 1, 1, all_cells=True), index.df.where("t = 0"), k, block)).distinct()
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        found = found.unionByName(_search(_hashed(short.df, 1, 1, all_cells=True), index.df.where("t = 0"), k + 1, block)).distinct()
+    by_class = Window.partitionBy("q").orderBy(F.col("score").desc(), "least", "x")
+    best = found.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1).select("q", "score", F.col("x").alias("cls"))
+    listed = best.join(members, "cls").select("q", F.struct((-F.col("score")).alias("far"), "id", "row", "score").alias("c"))
+    by_row = Window.partitionBy("q").orderBy("c")
+    listed = listed.withColumn("place", F.row_number().over(by_row)).where(F.col("place") <= k + 1)
+    lists = listed.groupBy(F.col("q").alias("cls")).agg(F.array_sort(F.collect_list("c")).alias("all"))
+    answers = asked.join(lists, "cls")
+    others = F.slice(F.filter("all", lambda c: c["row"] != F.col("row")), 1, k)
+    out = answers.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "c"))
+    index.drop(), short.drop(), wanted.drop(), classes.drop()
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.id").alias("vec_id"), F.col("c.score").alias("score"))
