@@ -127,8 +127,8 @@ def judge(pages: DataFrame, rules=RULES, extra_edges: DataFrame | None = None) -
         verdict = F.coalesce("rule_verdict", F.lit("allow"))
         return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.lit(False).alias("aliased"))
     named = linked.df.select(F.explode(F.array("a", "b")).alias("url")).distinct()
-    # a resource is named by a 63-bit hash; two that met in one hash would have to share a component to matter
-    key = lambda c: F.xxhash64(c, F.lit("url"))
+    # 128 bits: two resources of one name would join two components
+    key = lambda c: F.unhex(F.md5(c))
     comp = components(linked.df.select(key("a").alias("a"), key("b").alias("b")))
     facts = with_rule(named, rules).select(key("url").alias("node"), (F.col("rule_verdict") == "block").alias("hit"))
     blocked = facts.where("hit").join(comp, "node").select("component").distinct()
