@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Saved, small, text_batches
+from .common import BROADCAST_ROWS, Saved, fresh, small, text_batches
 from .mixing import words
 
 #: A repeated run of lines counts if it has so many words.
@@ -128,35 +128,37 @@ def removals(docs: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[Saved, int
     return out, n
 
 
-def clean(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text less its removed lines, and _n_lines, _n_removed (long), _removed ("first-last" line ranges, zero
-    based, comma-joined). The first copy of every run stays; texts of fewer words, null and empty ones (0 lines if null)
-    stay as they are. Repeated rows (same id and text) are one document and share its decisions; rows of the same id
-    and other texts are documents of their own; a null id comes last. Other columns, whatever their names, are kept
-    (but for those that begin with _). An empty table gives none. Texts are not shuffled while the spans are few
-    (BROADCAST_ROWS), beyond that they are joined by shuffling; the result is the same."""
+def clean(docs: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
+    """docs with text less its removed lines, and three columns more, whose names are returned: lines, removed lines
+    (long), and their ranges ("first-last", zero based, comma-joined). The first copy of every run stays; texts of
+    fewer words, null and empty ones (0 lines if null) stay as they are. Repeated rows (same id and text) are one
+    document and share its decisions; rows of the same id and other texts are documents of their own; a null id comes
+    last. Other columns, whatever their names, are kept. An empty table gives none. Texts are not shuffled while the
+    spans are few (BROADCAST_ROWS), beyond that they are joined by shuffling; the result is the same."""
     text_batches(docs.sparkSession)
     columns = docs.columns
     found, n = removals(docs, min_words=min_words)
+    c1, c2, whole, spans, hit, *more = fresh(docs, "k1", "k2", "whole", "spans", "hit", "n_lines", "n_removed", "removed")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed, ranges = [], [], []
-            for value, spans, hit in zip(b.column("_text"), b.column("_spans"), b.column("_hit"), strict=True):
+            for value, gone, touched in zip(b.column(whole), b.column(spans), b.column(hit), strict=True):
                 text = value.as_py()
-                kept, n, where = _without(text, spans.as_py()) if hit.as_py() and text is not None else (text, 0, "")
-                texts.append(kept), removed.append(n), ranges.append(where)
+                kept, k, where = _without(text, gone.as_py()) if touched.as_py() and text is not None else (text, 0, "")
+                texts.append(kept), removed.append(k), ranges.append(where)
             own = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*own, b.column("_n_lines"), pa.array(removed, pa.int64()), pa.array(ranges, pa.string())], names=[*columns, "_n_lines", "_n_removed", "_removed"])
+            yield pa.RecordBatch.from_arrays([*own, b.column(more[0]), pa.array(removed, pa.int64()), pa.array(ranges, pa.string())], names=[*columns, *more])
 
     text = F.col("text").cast("string")
     k1, k2 = _key()
-    hits = found.df.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"), F.lit(True).alias("_hit"))
-    marked = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(small(hits, n, BROADCAST_ROWS), ["_k1", "_k2"], "left")
+    hits = found.df.select(F.col("k1").alias(c1), F.col("k2").alias(c2), F.col("spans").alias(spans), F.lit(True).alias(hit))
+    marked = docs.withColumn(c1, k1).withColumn(c2, k2).join(small(hits, n, BROADCAST_ROWS), [c1, c2], "left")
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    rows = marked.select(*docs.columns, text.alias("_text"), "_spans", F.coalesce("_hit", F.lit(False)).alias("_hit"), n_lines.alias("_n_lines"))
+    rows = marked.select(*columns, text.alias(whole), spans, F.coalesce(hit, F.lit(False)).alias(hit), n_lines.alias(more[0]))
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    return rows.mapInArrow(rebuilt, T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_removed", T.StringType())]))
+    added = [T.StructField(c, kind) for c, kind in zip(more, (T.LongType(), T.LongType(), T.StringType()), strict=True)]
+    return rows.mapInArrow(rebuilt, T.StructType([*fields, *added])), more
 
 
 def _without(text: str, spans: list[dict] | None) -> tuple[str, int, str]:
@@ -174,14 +176,15 @@ def _without(text: str, spans: list[dict] | None) -> tuple[str, int, str]:
 
 def report(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_removed, removed, kept_sha256 (of the remaining text; null for a null text)."""
-    out = clean(docs.select("doc_id", "text"), min_words=min_words)
-    return out.select(F.col("doc_id").cast("long"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_removed").alias("removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    out, (lines, gone, ranges) = clean(docs.select("doc_id", "text"), min_words=min_words)
+    return out.select(F.col("doc_id").cast("long"), F.col(lines).alias("n_lines"), F.col(gone).alias("n_removed"), F.col(ranges).alias("removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, with the same columns, less the removed lines; a document of which no word is left goes. n_chars, if there,
     follows the text."""
-    out = clean(docs, min_words=min_words).where((F.col("_n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
+    out, (_, gone, _) = clean(docs, min_words=min_words)
+    out = out.where((F.col(gone) == 0) | (F.trim(F.regexp_replace("text", r"\s", "")) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, small
+from .common import Saved, fresh, small
 
 #: Weights of the sources in code point order, null last, over and over.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -89,7 +89,7 @@ def plan_mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, epochs:
     n_sources = sources.count()
     keyed = slim.df.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     rows = keyed.join(small(sources.df.select("key", "shards"), n_sources), "key")
-    rows = rows.withColumn("place", F.xxhash64("doc_id", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("place", F.lit(1)), F.col("shards"))).drop("shards")
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("place", F.lit(1)), F.col("shards"))).drop("shards")
     shards = rows.groupBy("key", "shard").agg(F.sum("size").alias("ring"))
     shards = shards.join(small(sources.df.select("key", F.col("quota").alias("source_quota"), "source", "source_size", "target"), n_sources), "key")
     shards = Saved(apportion(shards, ["key"], F.col("ring"), F.col("source_quota"), [F.col("shard")]), "shards")
@@ -112,29 +112,37 @@ def plan_mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, epochs:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with the columns of docs: a row as often as the mix takes it whole, and a row with the
     words of the arc where it ends inside a document (cut between words; white space inside is kept). Rows of no words
-    stay once: there is nothing to take from them, and nothing to drop."""
+    stay once: there is nothing to take from them, and nothing to drop. Rows alike in id, source and text are told
+    apart by their other columns, so reruns agree."""
     plan = plan_mix(docs, **options)
-    # identical rows have the same key; each then needs a number of its own
-    same = Window.partitionBy("_id", "_source", "_th").orderBy(F.lit(0))
-    keys = [F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.xxhash64(F.col("text").cast("string")).alias("_th")]
-    left = docs.select("*", *keys).withColumn("_nth", F.row_number().over(same))
-    right = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_th"), F.col("size").alias("_size"), F.col("rounds").alias("_rounds"), "arc_head", "tail_from", "arc_tail")
-    right = right.withColumn("_nth", F.row_number().over(same))
+    keys = ["id", "origin", "th", "nth"]
+    names = fresh(docs, *keys, "size", "rounds", "arc_head", "tail_from", "arc_tail", "piece")
+    id_, origin, th, nth, size_, rounds, head, tail_from, tail, piece = names
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "source", "text")]
+    same = Window.partitionBy(id_, origin, th)
+    own = [F.col("doc_id").cast("long").alias(id_), F.col("source").cast("string").alias(origin), F.xxhash64(F.col("text").cast("string")).alias(th)]
+    left = docs.select("*", *own).withColumn(nth, F.row_number().over(same.orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(0))))
+    taken = [F.col(c).alias(n) for c, n in zip(("size", "rounds", "arc_head", "tail_from", "arc_tail"), names[4:9], strict=True)]
+    right = plan.select(F.col("doc_id").alias(id_), F.col("source").alias(origin), F.col("th").alias(th), *taken)
+    right = right.withColumn(nth, F.row_number().over(same.orderBy(F.col(rounds), F.col(head), F.col(tail), F.col(tail_from))))
     on = F.lit(True)
-    for c in ("_id", "_source", "_th", "_nth"):
+    for c in (id_, origin, th, nth):
         on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    both = left.alias("l").join(right.alias("r"), on).select("l.*", "r._size", "r._rounds", "r.arc_head", "r.tail_from", "r.arc_tail")
-    size = F.col("_size")
-    whole = F.when(size == 0, F.lit(1)).otherwise(F.col("_rounds") + F.when((F.col("arc_head") + F.col("arc_tail") >= size), F.lit(1)).otherwise(F.lit(0)))
-    part = (size > 0) & (F.col("arc_head") + F.col("arc_tail") < size)
+    both = left.alias("l").join(right.alias("r"), on).select("l.*", *[F.col(f"r.{c}") for c in names[4:9]])
+    size, arc = F.col(size_), F.col(head) + F.col(tail)
+    whole = F.when(size == 0, F.lit(1)).otherwise(F.col(rounds) + F.when(arc >= size, F.lit(1)).otherwise(F.lit(0)))
+    part = (size > 0) & (arc < size)
+    item = lambda a, n: F.struct(a.cast("long").alias("from"), n.cast("long").alias("n"))
+    none = F.array(item(F.lit(0), F.lit(0)))
     pieces = F.concat(
-        F.array_repeat(F.struct(F.lit(-1).cast("long").alias("from"), F.lit(0).cast("long").alias("n")), whole.cast("int")),
-        F.when(part & (F.col("arc_head") > 0), F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("arc_head").alias("n")))).otherwise(F.expr("array()")),
-        F.when(part & (F.col("arc_tail") > 0), F.array(F.struct(F.col("tail_from").alias("from"), F.col("arc_tail").alias("n")))).otherwise(F.expr("array()")),
+        F.array_repeat(item(F.lit(-1), F.lit(0)), whole.cast("int")),
+        F.when(part & (F.col(head) > 0), F.array(item(F.lit(0), F.col(head)))).otherwise(F.slice(none, 1, 0)),
+        F.when(part & (F.col(tail) > 0), F.array(item(F.col(tail_from), F.col(tail)))).otherwise(F.slice(none, 1, 0)),
     )
-    out = both.withColumn("_piece", F.explode(pieces))
+    out = both.withColumn(piece, F.explode(pieces))
     # words kept with the white space after each, so that joining a slice restores the text between them
     tokens = F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.regexp_replace(F.array_join(F.slice(tokens, (F.col("_piece.from") + 1).cast("int"), F.col("_piece.n").cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
-    text = F.when(F.col("_piece.from") < 0, F.col("text").cast("string")).otherwise(cut)
+    first, n = F.col(f"{piece}.from"), F.col(f"{piece}.n")
+    cut = F.regexp_replace(F.array_join(F.slice(tokens, (first + 1).cast("int"), n.cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    text = F.when(first < 0, F.col("text").cast("string")).otherwise(cut)
     return out.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

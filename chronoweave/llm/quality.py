@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import fresh, text_batches
 
 #: The score at and above which a document is predicted to be good.
 ACCEPT = 0.7
@@ -135,32 +135,35 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     return fit(x[order], y[order])
 
 
-def score_documents(docs: DataFrame, model: BradleyTerry) -> DataFrame:
-    """docs with a column quality_score (a clashing one is replaced): double in [0, 1]; ACCEPT or more means good. Null
-    and empty texts get the score of no words. Rows, their order of columns and any ids are kept; no shuffle."""
+def score_documents(docs: DataFrame, model: BradleyTerry) -> tuple[DataFrame, str]:
+    """docs with one column more, whose name is returned (quality_score, or that after underscores where docs has one):
+    double in [0, 1]; ACCEPT or more means good. Null and empty texts get the score of no words. Rows, their order of
+    columns and any ids are kept; no shuffle."""
     spark = docs.sparkSession
     text_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.drop("quality_score").withColumn("_quality_text", F.col("text").cast("string"))
+    name, whole = fresh(docs, "quality_score", "whole")
+    rows = docs.withColumn(whole, F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(v.as_py()) for v in b.column(b.num_columns - 1)]
             score = sent.value.score(np.stack(x)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], name])
 
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("quality_score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return rows.mapInArrow(run, schema), name
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted. An empty table gives no rows; without labels of both kinds
     every score is ACCEPT."""
-    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
-    score = F.col("quality_score")
+    scored, name = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
+    score = F.col(name)
     return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose score is below ACCEPT, with the same columns."""
-    return score_documents(docs, train(docs, labels)).where(F.col("quality_score") >= ACCEPT).select(*docs.columns)
+    scored, name = score_documents(docs, train(docs, labels))
+    return scored.where(F.col(name) >= ACCEPT).select(*docs.columns)

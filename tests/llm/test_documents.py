@@ -207,3 +207,26 @@ def test_rollup_counts_each_batch_once(spark, tmp_path):
     assert store.commit("d", row("s", "en", "t1", -1, -7))
     assert {(r.source, r.n_docs) for r in store.totals().collect()} == {(None, 1)}
     assert rollups.corpus_rollup(frame(spark, ODD)).count() > 0
+
+
+CLASH = "doc_id long, text string, source string, _gone long, id string, c1 long, k1 string, _text string, spans string, hit int, n_lines int, quality_score string, whole string, arc_head int, tail_from int, _size int, piece string, nth int"
+
+
+def test_columns_of_clashing_names_stay_as_they_are(spark):
+    text = "\n".join(f"word{k} again and more to read" for k in range(12))
+    tail = (7, "i", 8, "k", "t", "s", 9, 10, "q", "w", 11, 12, 13, "p", 14)
+    docs = spark.createDataFrame([(1, text, "a", *tail), (2, text, "a", *tail), (3, "other words stand here", "b", *tail), (None, None, None, *tail)], CLASH)
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    for out in (linesuffix.drop_repeats(docs), omh.keep_one(docs), omh.keep_one(docs.union(docs)), mixing.mix(docs), quality.keep_good(docs, labels)):
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        for r in out.collect():
+            assert tuple(r)[3:] == tail
+    assert sorted(r.doc_id or 0 for r in omh.keep_one(docs).collect()) == [0, 1, 3]
+
+
+def test_rows_of_one_id_and_other_texts_are_judged_by_their_texts(spark):
+    rnd = random.Random(8)
+    a, b = (" ".join(f"{x}{rnd.randrange(900)}" for _ in range(80)) for x in "ab")
+    docs = frame(spark, [(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, b, "s"), (3, a + " end", "s"), (None, a, "s")])
+    assert sorted((r.doc_id or 0, r.text) for r in omh.keep_one(docs).collect()) == sorted([(1, a), (1, b), (0, a)])
+    assert sorted((r.doc_id or 0, r.class_id) for r in omh.near_copies(docs).collect() if r.doc_id) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]

@@ -116,3 +116,10 @@ def test_references_are_resolved_and_resources_named_alike(spark):
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_neighbours_of_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (7, [0.5, 0.5], 0)]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in crosspoly.nearest(frame(spark, rows), F.col("id") == 0, 3).collect()]
+    want = [(0, 1, 0, 1.0), (0, 2, 5, 1.0), (0, 3, 7, 0.5)]
+    assert sorted(got) == sorted(want * 2)
