@@ -61,6 +61,20 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(entities, e, timelines, participates, placed, timelines.select(F.col("entity_canonical_name").alias("name"), "timeline_id", "ord"))
 
 
+def stages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same graph as tables of the extraction's stages: events with mentions, clusters, timelines with event ids."""
+    e = tev(spark, sf_dir)
+    person = F.concat(F.lit("user"), F.col("user_id").cast("string"))
+    mention = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), person.alias("canonical_name"), F.lit("").alias("description"))
+    key = F.col("event_id").cast("string")
+    events = e.select(key.alias("event_id"), "ord", F.array(mention).alias("entities"), "time_type", "time_start", "time_end")
+    clusters = e.groupBy("user_id").agg(F.min("ord").alias("ord"), F.array(F.first(mention)).alias("member_entities"))
+    clusters = clusters.select(person.alias("canonical_name"), "ord", person.alias("cluster_id"), F.lit("").alias("merged_description"), F.array().cast("array<string>").alias("source_event_ids"), "member_entities")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("w", "event_id"))), lambda x: x["event_id"].cast("string"))
+    lines = e.groupBy("user_id", "event_type").agg(F.min("ord").alias("ord"), listed.alias("event_ids")).where(F.size("event_ids") >= 2)
+    return events, clusters, lines.select(F.concat(person, F.lit("/"), F.col("event_type")).alias("timeline_id"), person.alias("entity_canonical_name"), "ord", "event_ids")
+
+
 def label_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with vectors: event (node_id), entity (label), timeline (label and language)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "lang")

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TYPE = "struct<year:int,month:int,day:int>"
+#: Unicode's White_Space characters.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c) -> Column:
@@ -20,7 +22,7 @@ def _let(value: Column, use) -> Column:
 
 def strip(c) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def _month_days(y: Column, m: Column) -> Column:

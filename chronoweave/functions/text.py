@@ -16,7 +16,7 @@ def _col(c) -> Column:
 
 def tokens(c, *, stopwords: list[str] = (), stem=None, least: int = 2) -> Column:
     """Lower-cased runs of word characters (of any script) with `least` characters or more; stem: a column function."""
-    out = F.filter(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(?U)\b\w+\b"), F.lit(0)), lambda x: F.length(x) >= least)
+    out = F.filter(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(?U)[a-z0-9_\w]++"), F.lit(0)), lambda x: F.length(x) >= least)
     if stopwords:
         out = F.filter(out, lambda x: ~x.isin(*stopwords))
     return F.transform(out, stem) if stem else out

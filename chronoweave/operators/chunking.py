@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.temporal import strip
+from ..functions.temporal import _let, strip
 from ..functions.text import numbered
 
 # Sentence ends, in the order in which they are tried.
@@ -27,52 +27,77 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(pick("doc_id").alias("doc_id"), pick("doc_title", "title").alias("doc_title"), pick("source_idx").alias("source_idx"), F.coalesce(pick("content", "text"), F.lit("")).alias("body"), metadata.alias("metadata"))
 
 
-def _merge_tail(rows: DataFrame, least: int, size: Column) -> DataFrame:
-    """A last chunk under `least` goes into the one before it, cut again from the text."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    marked = rows.withColumn("_next", F.lead("end_char").over(w)).withColumn("_next_size", F.lead(size).over(w)).withColumn("_after", F.lead("chunk_index", 2).over(w)).withColumn("_before", F.lag("chunk_index").over(w))
-    takes = F.col("_next").isNotNull() & F.col("_after").isNull() & (F.col("_next_size") < least)
-    gone = F.col("_next").isNull() & F.col("_before").isNotNull() & (size < least)
-    end = F.when(takes, F.col("_next")).otherwise(F.col("end_char"))
-    whole = strip(F.expr("substring(body, start_char + 1, _next - start_char)"))
-    return marked.where(~gone).withColumn("content", F.when(takes, whole).otherwise(F.col("content"))).withColumn("end_char", end)
+def _piece(start: Column, end: Column, content: Column, tokens: Column) -> Column:
+    return F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), content.alias("content"), tokens.cast("int").alias("n"))
+
+
+def _tail_merged(pieces: Column, least: int, whole: Callable[[Column, Column], Column]) -> Column:
+    """A last piece of fewer than `least` tokens (or characters, as n counts) goes into the one before: whole(a, b)."""
+
+    def merged(p: Column) -> Column:
+        a, b = F.element_at(p, -2), F.element_at(p, -1)
+        return F.when((F.size(p) > 1) & (F.element_at(p, -1)["n"] < least), F.concat(F.slice(p, F.lit(1), F.size(p) - 2), F.array(whole(a, b)))).otherwise(p)
+
+    return _let(F.filter(pieces, lambda x: x["content"] != ""), merged)
+
+
+def _pieces(d: DataFrame, pieces: Column, strategy: str, token_count: Callable[[Column], Column]) -> DataFrame:
+    """A row per piece, numbered in its document's row: no shuffle, and the text itself stays behind."""
+    out = d.select("doc_id", "doc_title", "source_idx", "metadata", F.posexplode(pieces).alias("chunk_index", "c"))
+    return _finish(out.select("*", F.col("c.s").alias("start_char"), F.col("c.e").alias("end_char"), F.col("c.content").alias("content")), strategy, token_count)
 
 
 def by_chars(docs: DataFrame, *, size: int = 1500, overlap: int = 100, least: int = 500, token_count: Callable[[Column], Column] = F.length) -> DataFrame:
     """Windows of `size` code points that step back by `overlap`; blank ones are dropped before numbering; a short last
-    one joins the one before. Starts follow from the length alone, so documents are cut without a loop."""
-    d = _inputs(docs)
-    n = F.length("body")
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    cut = d.select("*", F.explode(F.sequence(F.lit(0), last)).alias("_i")).withColumn("start_char", F.col("_i") * step)
-    cut = cut.withColumn("end_char", F.least(F.col("start_char") + size, n))
-    raw = F.expr("substring(body, start_char + 1, end_char - start_char)")
-    cut = cut.withColumn("content", F.when(n <= size, F.col("body")).otherwise(strip(raw))).where((F.col("content") != "") | (n <= size))
-    cut = cut.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("_i")) - 1)
-    return _finish(_merge_tail(cut, least, F.length("content")), "fixed_size", token_count)
+    one joins the one before, cut again from the text. Starts follow from the length alone, so a row's chunks are made
+    within the row. Rows of one id are cut and numbered each by itself."""
+    step, body = size - overlap, F.col("body")
+    part = lambda a, z: strip(F.substring(body, a + 1, z - a))
+
+    def windows(n: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
+
+        def window(i: Column) -> Column:
+            start, end = i * step, F.least(i * step + size, n)
+            return _let(part(start, end), lambda text: _piece(start, end, text, F.length(text)))
+
+        cut = F.transform(F.sequence(F.lit(0), last), window)
+        whole = lambda a, b: _let(part(a["s"], b["e"]), lambda text: _piece(a["s"], b["e"], text, F.length(text)))
+        return F.when(n <= size, F.array(_piece(F.lit(0), n, body, n))).otherwise(_tail_merged(cut, least, whole))
+
+    return _pieces(_inputs(docs), _let(F.length("body"), windows), "fixed_size", token_count)
 
 
 def by_tokens(docs: DataFrame, *, size: int = 1500, overlap: int = 100, least: int = 500, pattern: str = r"\s*\S+") -> DataFrame:
     """Windows of `size` tokens, a token being a match of `pattern` (white space and the word after it): the JVM's own
-    tokens. For a model's tokens see by_model_tokens."""
-    d = _inputs(docs).withColumn("_t", F.regexp_extract_all("body", F.lit(pattern), F.lit(0)))
-    n, step = F.size("_t"), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    cut = d.select("*", F.explode(F.sequence(F.lit(0), last)).alias("_i")).withColumn("_from", F.col("_i") * step)
-    part = F.slice("_t", F.col("_from") + 1, F.lit(size))
-    before = F.length(F.array_join(F.slice("_t", F.lit(1), F.col("_from")), ""))
-    cut = cut.withColumn("_raw", F.array_join(part, "")).withColumn("start_char", before).withColumn("end_char", before + F.length("_raw")).withColumn("_n", F.size(part))
-    cut = cut.withColumn("content", F.when(n <= size, F.col("body")).otherwise(strip("_raw"))).where((F.col("content") != "") | (n <= size))
-    cut = cut.withColumn("end_char", F.when(n <= size, F.length("body")).otherwise(F.col("end_char")))
-    cut = cut.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("_i")) - 1)
-    # a short tail joins the chunk before, overlap and all
-    w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    cut = cut.withColumn("_next", F.lead("content").over(w)).withColumn("_next_n", F.lead("_n").over(w)).withColumn("_next_end", F.lead("end_char").over(w)).withColumn("_after", F.lead("chunk_index", 2).over(w)).withColumn("_before", F.lag("chunk_index").over(w))
-    takes = F.col("_next").isNotNull() & F.col("_after").isNull() & (F.col("_next_n") < least)
-    cut = cut.where(~(F.col("_next").isNull() & F.col("_before").isNotNull() & (F.col("_n") < least)))
-    cut = cut.withColumn("content", F.when(takes, F.concat_ws(" ", "content", "_next")).otherwise(F.col("content"))).withColumn("end_char", F.when(takes, F.col("_next_end")).otherwise(F.col("end_char")))
-    return _finish(cut, "fixed_size", lambda c: F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))))
+    tokens. For a model's tokens see by_model_tokens. A short last window joins the one before, overlap and all."""
+    step, body = size - overlap, F.col("body")
+    tokens = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def windows(t: Column) -> Column:
+        n = F.size(t)
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int"))
+        joined = lambda i, k: F.array_join(F.slice(t, i * step + 1, F.lit(k)), "")
+
+        def window(i: Column, gaps: Column) -> Column:
+            start = F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+            return _let(joined(i, size), lambda raw: _piece(start, start + F.length(raw), strip(raw), F.least(F.lit(size), n - i * step)))
+
+        cut = _let(F.transform(places, lambda i: F.length(joined(i, step))), lambda gaps: F.transform(places, lambda i: window(i, gaps)))
+        both = lambda a, b: F.concat_ws(" ", a["content"], b["content"])
+        whole = lambda a, b: _let(both(a, b), lambda text: _piece(a["s"], b["e"], text, F.size(tokens(text))))
+        return F.when(n <= size, F.array(_piece(F.lit(0), F.length(body), body, n))).otherwise(_tail_merged(cut, least, whole))
+
+    return _pieces(_inputs(docs), _let(tokens(body), windows), "fixed_size", lambda _: F.col("c.n"))
+
+
+_CUT = "doc_id string, doc_title string, source_idx string, metadata map<string,string>"
+
+
+def _exploded(rows: DataFrame, strategy: str, token_count: Callable[[Column], Column]) -> DataFrame:
+    """A row per element of cuts, with the document's metadata."""
+    out = rows.select("doc_id", "doc_title", "source_idx", "metadata", F.posexplode("cuts").alias("chunk_index", "c"))
+    return _finish(out.select("*", F.col("c.content").alias("content"), F.col("c.s").alias("start_char"), F.col("c.e").alias("end_char")), strategy, token_count)
 
 
 def _per_document(docs: DataFrame, cut: Callable[[str], list[tuple[str, int, int, int]]], strategy: str) -> DataFrame:
@@ -81,11 +106,9 @@ def _per_document(docs: DataFrame, cut: Callable[[str], list[tuple[str, int, int
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.assign(cuts=[[{"content": c, "s": s, "e": e, "n": n} for c, s, e, n in cut(body)] for body in frame["body"]])
-            yield frame[["doc_id", "doc_title", "source_idx", "cuts"]]
+            yield frame[["doc_id", "doc_title", "source_idx", "metadata", "cuts"]]
 
-    rows = _inputs(docs).drop("metadata").select("doc_id", "doc_title", "source_idx", "body").mapInPandas(run, "doc_id string, doc_title string, source_idx string, cuts array<struct<content:string,s:int,e:int,n:int>>")
-    out = rows.select("doc_id", "doc_title", "source_idx", F.posexplode("cuts").alias("chunk_index", "c")).select("*", F.col("c.content").alias("content"), F.col("c.s").alias("start_char"), F.col("c.e").alias("end_char"), F.create_map().cast("map<string,string>").alias("metadata"))
-    return _finish(out, strategy, lambda _: F.col("c.n"))
+    return _exploded(_inputs(docs).mapInPandas(run, f"{_CUT}, cuts array<struct<content:string,s:int,e:int,n:int>>"), strategy, lambda _: F.col("c.n"))
 
 
 def by_chars_at_sentences(docs: DataFrame, *, size: int = 1500, overlap: int = 100, least: int = 500) -> DataFrame:
@@ -145,8 +168,8 @@ def split_sentences(text: Column) -> Column:
     """After a full stop, question or exclamation mark before white space or a capital; a long text that stays whole is
     split after each mark."""
     clean = lambda a: F.filter(F.transform(a, strip), lambda x: x != "")
-    first = clean(F.split(text, r"(?<=[.!?。！？])\s+|(?<=[.!?。！？])(?=[A-Z])"))
-    return F.when((F.size(first) <= 1) & (F.length(text) > 100), clean(F.split(text, r"(?<=[.!?。！？])\s*"))).otherwise(first)
+    again = lambda first: F.when((F.size(first) <= 1) & (F.length(text) > 100), clean(F.split(text, r"(?<=[.!?。！？])\s*"))).otherwise(first)
+    return _let(clean(F.split(text, r"(?<=[.!?。！？])\s+|(?<=[.!?。！？])(?=[A-Z])")), again)
 
 
 def merge_short(sentences: Column, least: int = 3) -> Column:
@@ -162,12 +185,10 @@ def by_sentences(docs: DataFrame, *, most: int = 10, overlap: int = 2, least: in
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(cuts=[_pack(body, list(s), most, overlap, least, largest) for body, s in zip(frame["body"], frame["s"], strict=True)])[["doc_id", "doc_title", "source_idx", "cuts"]]
+            yield frame.assign(cuts=[_pack(body, list(s), most, overlap, least, largest) for body, s in zip(frame["body"], frame["s"], strict=True)])[["doc_id", "doc_title", "source_idx", "metadata", "cuts"]]
 
-    rows = _inputs(docs).select("doc_id", "doc_title", "source_idx", "body", merge_short(split_sentences(F.col("body"))).alias("s"))
-    rows = rows.mapInPandas(run, "doc_id string, doc_title string, source_idx string, cuts array<struct<content:string,s:int,e:int>>")
-    out = rows.select("doc_id", "doc_title", "source_idx", F.posexplode("cuts").alias("chunk_index", "c")).select("*", F.col("c.content").alias("content"), F.col("c.s").alias("start_char"), F.col("c.e").alias("end_char"), F.create_map().cast("map<string,string>").alias("metadata"))
-    return _finish(out, "sentence", F.length)
+    rows = _inputs(docs).withColumn("s", merge_short(split_sentences(F.col("body"))))
+    return _exploded(rows.mapInPandas(run, f"{_CUT}, cuts array<struct<content:string,s:int,e:int>>"), "sentence", F.length)
 
 
 def _pack(body: str, sentences: list[str], most: int, overlap: int, least: int, largest: int) -> list[dict]:

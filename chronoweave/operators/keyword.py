@@ -18,60 +18,82 @@ def query_terms(spark: SparkSession, query: str, **options) -> DataFrame:
 
 @dataclass
 class Index:
-    """Postings (node_id, term, tf) and lengths (node_id, ord, dl); both may be saved and read again as tables."""
+    """tokens (node_id, ord, t): each node's terms in their order; may be saved and read again as a table."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    tokens: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """node_id, ord, term, tf; combined before the shuffle."""
+        terms = self.tokens.select("node_id", "ord", F.explode("t").alias("term"))
+        return terms.groupBy("node_id", "ord", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.tokens.select("node_id", "ord", F.size("t").alias("dl"))
+
+    @property
+    def counted(self) -> DataFrame:
+        """term, n, total: in one pass how many nodes have each term, and, in the row without a term, how many nodes there
+        are and how long they are together. A node gives each of its terms once, so the shuffle has combined counts."""
+        whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("dl")))
+        each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("dl")))
+        rows = self.tokens.select(F.explode(F.concat(whole, each)).alias("x")).select("x.*")
+        return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
 
     @property
     def stats(self) -> DataFrame:
-        return self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        return self.counted.where("term is null").select("n", (F.col("total") / F.col("n")).alias("avgdl"))
 
     @property
     def frequencies(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.counted.where("term is not null").select("term", F.col("n").alias("df"))
 
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self.tokens.write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        return cls(spark.read.parquet(path))
 
 
 def build(nodes: DataFrame, *, text: str = "text", **options) -> Index:
-    """Terms are counted per node, combined before the shuffle."""
-    t = nodes.select("node_id", "ord", tokens(text, **options).alias("t"))
-    postings = t.select("node_id", F.explode("t").alias("term")).groupBy("node_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, t.select("node_id", "ord", F.size("t").alias("dl")))
+    return Index(nodes.select("node_id", "ord", tokens(text, **options).alias("t")))
 
 
 def bm25(index: Index, query: DataFrame, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """node_id, ord, score for every node, also those that score 0 or less. A negative idf becomes epsilon times the
-    mean idf of all terms."""
+    mean idf of all terms. One pass counts terms; another scores each node within its row from the query's weights, one
+    row that is broadcast (as many weights as the query has words)."""
     n = index.stats
     idf0 = index.frequencies.crossJoin(F.broadcast(n)).select("term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf0"))
     floor = idf0.agg((F.avg("idf0") * epsilon).alias("low"))
-    idf = idf0.join(query, "term").crossJoin(F.broadcast(floor)).select("term", "qtf", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(F.col("low")).alias("idf"))
-    hits = index.postings.join(idf, "term").join(index.lengths, "node_id").crossJoin(F.broadcast(n))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.select("node_id", part.alias("part")).groupBy("node_id").agg(F.sum("part").alias("score"))
-    return index.lengths.join(scores, "node_id", "left").select("node_id", "ord", F.coalesce("score", F.lit(0.0)).alias("score"))
+    idf = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(F.col("low"))
+    weights = idf0.join(F.broadcast(query), "term").crossJoin(F.broadcast(floor)).select("term", (F.col("qtf") * idf).alias("w"))
+    one = weights.agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("q")).crossJoin(F.broadcast(n))
+    hits = F.filter("t", lambda x: F.array_contains(F.col("q.term"), x))
+    scored = index.tokens.crossJoin(F.broadcast(one)).select("node_id", "ord", "q", "avgdl", F.size("t").alias("dl"), hits.alias("h"))
+
+    def part(q: Column) -> Column:
+        tf = F.size(F.filter("h", lambda x: x == q["term"]))
+        return F.when(tf > 0, q["w"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+
+    score = F.when(F.size("h") > 0, F.aggregate("q", F.lit(0.0), lambda s, q: s + part(q))).otherwise(0.0)
+    return scored.select("node_id", "ord", score.alias("score"))
 
 
 def tfidf(index: Index, query: DataFrame) -> DataFrame:
-    """node_id, ord, score > 0: cosine of augmented tf times smoothed idf."""
+    """node_id, ord, score > 0: cosine of augmented tf times smoothed idf. The largest tf of a node divides its weights
+    and its norm alike, so it falls out of the cosine."""
     idf = index.frequencies.crossJoin(F.broadcast(index.stats)).select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    most = index.postings.groupBy("node_id").agg(F.max("tf").alias("most"))
-    weights = index.postings.join(idf, "term").join(most, "node_id").select("node_id", "term", (F.col("tf") / F.col("most") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # the largest count is over all the query's terms, known to the corpus or not
-    q = query.join(idf, "term").crossJoin(F.broadcast(query.agg(F.max("qtf").alias("qmost")))).select("term", (F.col("qtf") / F.col("qmost") * F.col("idf")).alias("qw"))
+    most = query.agg(F.max("qtf").alias("qmost"))
+    q = idf.join(F.broadcast(query), "term").crossJoin(F.broadcast(most)).select("term", (F.col("qtf") / F.col("qmost") * F.col("idf")).alias("qw"))
     qnorm = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weights.join(q, "term").groupBy("node_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms, "node_id").crossJoin(F.broadcast(qnorm)).join(index.lengths, "node_id")
-    return scored.select("node_id", "ord", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")).where("score > 0")
+    terms = idf.join(F.broadcast(q), "term", "left").select("term", "idf", F.coalesce("qw", F.lit(0.0)).alias("qw"))
+    w = F.col("tf") * F.col("idf")
+    sums = index.postings.join(terms, "term").groupBy("node_id", "ord").agg(F.sum(w * w).alias("norm"), F.sum(w * F.col("qw")).alias("dot")).where("dot > 0")
+    return sums.crossJoin(F.broadcast(qnorm)).select("node_id", "ord", (F.col("dot") / (F.sqrt("norm") * F.col("qnorm"))).alias("score")).where("score > 0")
 
 
 def match_score(text: Column, query: str, *, fuzzy: bool = True, case_sensitive: bool = False, least: int = 2) -> Column:

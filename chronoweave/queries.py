@@ -12,6 +12,7 @@ from .functions import temporal as T
 from .functions import text as X
 from .operators import chunking, cluster, dedupe, graph, keyword, provenance, semantic, timeline, validate, voting
 from .operators import ranking as R
+from .plans import questions
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -63,21 +64,24 @@ def q_chunk_fixed_char(spark, d):
     return out.select("chunk_id", "start_char", "end_char", "token_count", F.md5("content").alias("digest"))
 
 
-@query(r"""with t as (select doc_id, text, regexp_extract_all(text, '[\x09-\x0D\x20]*[^\x09-\x0D\x20]+') as t from documents), n as (select *, len(t) as n, greatest(0, ceil((len(t) - 200) / 150.0))::int as last from t)
-select doc_id::varchar || '-chunk-' || lpad(i::varchar, 4, '0') as chunk_id, least(200, n - i * 150)::int as token_count, coalesce(length(array_to_string(t[1 : i * 150], '')), 0)::int as start_char from (select * from n where n > 200), unnest(range(0, last + 1)) as u(i)""")
+@query(r"""with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[\x09-\x0D\x20]*[^\x09-\x0D\x20]+') as t from documents),
+    n as (select *, len(t) as n, greatest(0, ceil((len(t) - 200) / 150.0))::int as last from t), c as (select *, n - last * 150 as tail from n, unnest(range(0, last + 1)) as u(i))
+select doc_id::varchar || '-chunk-' || lpad(i::varchar, 4, '0') as chunk_id, case when last > 0 and tail < 100 and i = last - 1 then 200 + tail else least(200, n - i * 150) end::int as token_count,
+    coalesce(length(array_to_string(t[1 : i * 150], '')), 0)::int as start_char from c where not (last > 0 and tail < 100 and i = last)""")
 def q_chunk_fixed_token(spark, d):
-    docs = B.table(spark, d, "documents")
-    long = docs.where(F.size(F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))) > 200)
-    out = chunking.by_tokens(long, size=200, overlap=50, least=0)
-    return out.select("chunk_id", "token_count", "start_char").withColumn("start_char", F.coalesce("start_char", F.lit(0)))
+    return chunking.by_tokens(B.table(spark, d, "documents"), size=200, overlap=50, least=100).select("chunk_id", "token_count", "start_char")
 
 
-@query(rf"""select doc_id, len(s)::int as n_sentences, md5(array_to_string(s, '|')) as digest from (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])[\x09-\x0D\x20]+', '\1␞', 'g'), '([.!?。！？])([A-Z])', '\1␞\2', 'g'), '␞'), lambda x: trim(x, {_WS})), lambda x: x <> '') as s from documents) where len(s) > 1""")
+_PARTED = f"list_filter(list_transform(string_split({{}}, '␞'), lambda x: trim(x, {_WS})), lambda x: x <> '')"
+_FIRST = _PARTED.format(r"regexp_replace(regexp_replace(text, '([.!?。！？])[\x09-\x0D\x20]+', '\1␞', 'g'), '([.!?。！？])([A-Z])', '\1␞\2', 'g')")
+_AGAIN = _PARTED.format(r"regexp_replace(text, '([.!?。！？])[\x09-\x0D\x20]*', '\1␞', 'g')")
+
+
+@query(f"""with p as (select doc_id, text, {_FIRST} as a, {_AGAIN} as b from documents), s as (select doc_id, case when len(a) <= 1 and length(text) > 100 then b else a end as s from p)
+select doc_id, len(s)::int as n_sentences, md5(array_to_string(s, '|')) as digest from s""")
 def q_sentence_split(spark, d):
-    s = chunking.split_sentences(F.col("text"))
-    first = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？])\s+|(?<=[.!?。！？])(?=[A-Z])"), T.strip), lambda x: x != "")
-    docs = B.table(spark, d, "documents").where(F.size(first) > 1)
-    return docs.select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
+    s = B.table(spark, d, "documents").select("doc_id", chunking.split_sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 @query()
@@ -287,28 +291,26 @@ def q_graph_stats(spark, d):
     return B.graph(spark, d).stats()
 
 
-@query(f"with {_TEV} select timeline_id, count(*) as n, min(position) as first, max(position) as last from pos group by timeline_id")
+@query(f"""with {_TEV}, b as (select 'belongs_to' as edge, event_id::varchar as a, timeline_id as b, position::bigint as position from pos)
+select * from b union all select 'participates_in', 'user' || user_id, event_id::varchar, null from tev union all select 'has_timeline', 'user' || user_id, timeline_id, null from tl""")
 def q_edge_build(spark, d):
-    return B.graph(spark, d).belongs.groupBy("timeline_id").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"), F.max("position").alias("last"))
-
-
-def _first_names(g, n=5):
-    return R.top_k(g.entities.withColumn("score", -F.col("ord")), n, order="name")
-
-
-_NAMES = "names as (select 'user' || user_id as name, user_id from tev group by user_id order by min(event_id), name limit 5)"
+    g = graph.build(*B.stages(spark, d))
+    none = F.lit(None).cast("long")
+    edges = g.belongs.select(F.lit("belongs_to").alias("edge"), F.col("event_id").alias("a"), F.col("timeline_id").alias("b"), F.col("position").cast("long").alias("position"))
+    edges = edges.unionByName(g.participates.select(F.lit("participates_in").alias("edge"), F.col("name").alias("a"), F.col("event_id").alias("b"), none.alias("position")))
+    return edges.unionByName(g.has.select(F.lit("has_timeline").alias("edge"), F.col("name").alias("a"), F.col("timeline_id").alias("b"), none.alias("position")))
 
 
-@query(f"with {_TEV}, {_NAMES} select name, event_id, 'participant' as role, time_start from names join tev using (user_id)")
+@query(f"with {_TEV} select 'user' || user_id as name, event_id, 'participant' as role, time_start from tev")
 def q_entity_events(spark, d):
     g = B.graph(spark, d)
-    return g.entity_events(_first_names(g)).select("name", "event_id", "role", "time_start")
+    return g.entity_events(g.entities).select("name", "event_id", "role", "time_start")
 
 
-@query(f"with {_TEV}, {_NAMES} select name, timeline_id from names join tl using (user_id)")
+@query(f"with {_TEV} select 'user' || user_id as name, timeline_id from tl")
 def q_entity_timelines(spark, d):
     g = B.graph(spark, d)
-    return g.entity_timelines(_first_names(g)).select("name", "timeline_id")
+    return g.entity_timelines(g.entities).select("name", "timeline_id")
 
 
 @query(f"with {_TEV} select event_id, 'user' || user_id as name from tev")
@@ -323,10 +325,10 @@ def q_event_timeline(spark, d):
     return g.event_timeline(g.events).select("event_id", "timeline_id", "position")
 
 
-@query(f"with {_TEV}, {_NAMES} select timeline_id, position, event_id from names join tl using (user_id) join pos using (timeline_id)")
+@query(f"with {_TEV} select timeline_id, position, event_id from tl join pos using (timeline_id)")
 def q_timeline_events(spark, d):
     g = B.graph(spark, d)
-    return g.timeline_events(g.entity_timelines(_first_names(g))).select("timeline_id", "position", "event_id")
+    return g.timeline_events(g.entity_timelines(g.entities)).select("timeline_id", "position", "event_id")
 
 
 @query(f"with {_TEV} select timeline_id, 'user' || user_id as name from tl")
@@ -372,10 +374,10 @@ def q_contains_year(spark, d):
     return _bounds(spark, d).where((F.year("lo") <= 2026) & (F.year("hi") >= 2026)).select("event_id")
 
 
-@query(f"with {_TEV}, {_BOUNDS} select a.event_id as a_id, b2.event_id as b_id from b a join b b2 on a.user_id = b2.user_id and a.event_id < b2.event_id and a.lo <= b2.hi and b2.lo <= a.hi where a.lo > date '2027-06-01'")
+@query(f"with {_TEV}, {_BOUNDS} select a.event_id as a_id, b2.event_id as b_id from b a join b b2 on a.user_id = b2.user_id and a.event_id < b2.event_id and a.lo <= b2.hi and b2.lo <= a.hi")
 def q_implicit_period_join(spark, d):
     b = _bounds(spark, d)
-    out = provenance.overlaps(b.where("lo > date '2027-06-01'").withColumnRenamed("event_id", "a_id"), b.withColumnRenamed("event_id", "b_id"), ["user_id"])
+    out = provenance.overlaps(b.withColumnRenamed("event_id", "a_id"), b.withColumnRenamed("event_id", "b_id"), ["user_id"])
     return out.where("a_id < b_id").select("a_id", "b_id")
 
 
@@ -507,11 +509,11 @@ def q_chunk_batches(spark, d):
 
 
 def _conv_chunks(spark, d):
-    c = B.table(spark, d, "conversations").where("turn % 5 <> 3")
+    c = B.table(spark, d, "conversations")
     return c.select(X.numbered(F.col("conv_id"), "chunk", F.col("turn").cast("int")).alias("chunk_id"), "role").dropDuplicates(["chunk_id"])
 
 
-_CHUNKS = "c as (select distinct conv_id, turn, conv_id::varchar || '-chunk-' || lpad(turn::varchar, 4, '0') as chunk_id from conversations where turn % 5 <> 3), i as (select *, turn - row_number() over (partition by conv_id order by turn) as g from c)"
+_CHUNKS = "c as (select distinct conv_id, turn, conv_id::varchar || '-chunk-' || lpad(turn::varchar, 4, '0') as chunk_id from conversations), i as (select *, turn - row_number() over (partition by conv_id order by turn) as g from c)"
 
 
 @query(f"with {_CHUNKS} select a.chunk_id as centre, b.chunk_id, (b.turn - a.turn)::int as offset from i a join i b on a.conv_id = b.conv_id and a.g = b.g and b.turn between a.turn - 2 and a.turn + 1")
@@ -543,16 +545,32 @@ def q_json_props(spark, d):
     return B.table(spark, d, "events").select("event_id", F.element_at(F.from_json("props", "map<string,string>"), key).alias("first"))
 
 
-@query(f"with {_TEV} select event_type, count(*) as n, min(time_start) as earliest, max(time_start) as latest, round(avg(substr(time_start, 1, 4)::int), 6) as mean_year, sum(substr(time_start, 1, 4)::int)::bigint as years from tev group by event_type")
+_YEARS = "substr(time_start, 1, 4)::int"
+_FNS = {"count": "count(*)", "sum": f"sum({_YEARS})", "average": f"avg({_YEARS})", "min": f"min({_YEARS})", "max": f"max({_YEARS})"}
+
+
+@query(f"with {_TEV}, e as (select * from tev where event_type = 'click') " + " union all ".join(f"select '{k}' as fn, round(({v})::double, 6) as value from e" for k, v in _FNS.items()))
 def q_subtask_aggs(spark, d):
-    y = T.year_prefix("time_start")
-    return B.tev(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("time_start").alias("earliest"), F.max("time_start").alias("latest"), F.round(F.avg(y), 6).alias("mean_year"), F.sum(y).alias("years"))
+    run = questions.OPERATIONS
+    clicks = run["filter"]([B.tev(spark, d)], {"condition": "event_type = 'click'"})
+    years = run["transform"]([clicks], {"name": "year", "expression": "cast(substring(time_start, 1, 4) as int)"})
+    out = None
+    for fn in _FNS:
+        row = run["aggregate"]([years], {"fn": fn, "column": "year"}).select(F.lit(fn).alias("fn"), F.round(F.col("value").cast("double"), 6).alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_VERBS = "|".join(rf"\b{v}\b" for v in ("play(ed)?[\\x09-\\x0D\\x20]+for", "work(ed)?[\\x09-\\x0D\\x20]+at", "served?[\\x09-\\x0D\\x20]+as", "joined?", "married[\\x09-\\x0D\\x20]+to", "held?", "became", "won", "scored?"))
 
 
-@query(rf"with c(k, s) as (values (1, 'Alan Turing'), (2, 'Who was he?'), (3, 'he played for Ajax'), (4, 'who'), (5, 'one two three four five six seven eight nine ten eleven')) select k, k = 1 as single from c")
+@query(rf"""with t as (select 'c' || c_custkey as k, c_name as s from customer union all select 'p' || p_partkey, p_name from part union all select 'd' || doc_id, text from documents),
+    w as (select k, s, list_filter(string_split_regex(lower(trim(s, ' ')), '[\x09-\x0D\x20]+'), lambda x: x <> '') as w from t)
+select k, not contains(s, '?') and not list_has_any(w, {X.QUESTION_WORDS!r}) and not regexp_matches(lower(trim(s, ' ')), '{_VERBS}') and len(w) <= 10 as single from w""")
 def q_single_entity(spark, d):
-    rows = [(1, "Alan Turing"), (2, "Who was he?"), (3, "he played for Ajax"), (4, "who"), (5, "one two three four five six seven eight nine ten eleven")]
-    return spark.createDataFrame(rows, "k int, s string").select("k", X.is_single_entity("s").alias("single"))
+    named = lambda table, mark, key, text: B.table(spark, d, table).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("k"), F.col(text).alias("s"))
+    t = named("customer", "c", "c_custkey", "c_name").unionByName(named("part", "p", "p_partkey", "p_name")).unionByName(named("documents", "d", "doc_id", "text"))
+    return t.select("k", X.is_single_entity("s").alias("single"))
 
 
 @query()
