@@ -17,9 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; where they lie in fewer files than there are cores, dealt over the cores, as one file of one row
+    group would keep a single core busy with all texts. Larger tables are read as they lie, without a shuffle."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as nodes."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ord"), "text")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ord"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

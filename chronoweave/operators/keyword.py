@@ -34,20 +34,23 @@ class Index:
 
     @property
     def counted(self) -> DataFrame:
-        """term, n, total: in one pass how many nodes have each term, and, in the row without a term, how many nodes there
-        are and how long they are together. A node gives each of its terms once, so the shuffle has combined counts."""
-        whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("dl")))
-        each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("dl")))
+        """term, v, kind: in one pass how many nodes have each term (kind 0), how many nodes there are (1, no term) and how
+        long they are together (2, empty term). A node gives each of its terms once, so the shuffle has combined counts.
+        Kind is an aggregate, so that filters on it stay above the shuffle and all readers share it."""
+        row = lambda term, v, kind: F.struct(term.cast("string").alias("term"), v.cast("long").alias("v"), F.lit(kind).alias("kind"))
+        whole = F.array(row(F.lit(None), F.lit(1), 1), row(F.lit(""), F.size("t"), 2))
+        each = F.transform(F.array_distinct("t"), lambda x: row(x, F.lit(1), 0))
         rows = self.tokens.select(F.explode(F.concat(whole, each)).alias("x")).select("x.*")
-        return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+        return rows.groupBy("term").agg(F.sum("v").alias("v"), F.max("kind").alias("kind"))
 
     @property
     def stats(self) -> DataFrame:
-        return self.counted.where("term is null").select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+        of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("v")))
+        return self.counted.where("kind > 0").agg(of(1).alias("n"), (of(2) / of(1)).alias("avgdl"))
 
     @property
     def frequencies(self) -> DataFrame:
-        return self.counted.where("term is not null").select("term", F.col("n").alias("df"))
+        return self.counted.where("kind = 0").select("term", F.col("v").alias("df"))
 
     def save(self, path: str) -> None:
         self.tokens.write.mode("overwrite").parquet(path)

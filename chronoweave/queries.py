@@ -60,7 +60,7 @@ m as (select *, lead(e) over w as ne, lead(length(content)) over w as nl, lead(i
 @query(_CUT + f"""r as (select doc_id, idx, s, case when ne is not null and after is null and nl < 500 then ne else e end as e, case when ne is not null and after is null and nl < 500 then trim(text[s + 1 : ne], {_WS}) else content end as content from m where not (ne is null and before is not null and length(content) < 500))
 select doc_id::varchar || '-chunk-' || lpad(idx::varchar, 4, '0') as chunk_id, s::int as start_char, e::int as end_char, length(content)::int as token_count, md5(content) as digest from r""")
 def q_chunk_fixed_char(spark, d):
-    out = chunking.by_chars(B.table(spark, d, "documents"))
+    out = chunking.by_chars(B.documents(spark, d))
     return out.select("chunk_id", "start_char", "end_char", "token_count", F.md5("content").alias("digest"))
 
 
@@ -69,7 +69,7 @@ def q_chunk_fixed_char(spark, d):
 select doc_id::varchar || '-chunk-' || lpad(i::varchar, 4, '0') as chunk_id, case when last > 0 and tail < 100 and i = last - 1 then 200 + tail else least(200, n - i * 150) end::int as token_count,
     coalesce(length(array_to_string(t[1 : i * 150], '')), 0)::int as start_char from c where not (last > 0 and tail < 100 and i = last)""")
 def q_chunk_fixed_token(spark, d):
-    return chunking.by_tokens(B.table(spark, d, "documents"), size=200, overlap=50, least=100).select("chunk_id", "token_count", "start_char")
+    return chunking.by_tokens(B.documents(spark, d), size=200, overlap=50, least=100).select("chunk_id", "token_count", "start_char")
 
 
 _PARTED = f"list_filter(list_transform(string_split({{}}, '␞'), lambda x: trim(x, {_WS})), lambda x: x <> '')"
@@ -80,18 +80,18 @@ _AGAIN = _PARTED.format(r"regexp_replace(text, '([.!?。！？])[\x09-\x0D\x20]*
 @query(f"""with p as (select doc_id, text, {_FIRST} as a, {_AGAIN} as b from documents), s as (select doc_id, case when len(a) <= 1 and length(text) > 100 then b else a end as s from p)
 select doc_id, len(s)::int as n_sentences, md5(array_to_string(s, '|')) as digest from s""")
 def q_sentence_split(spark, d):
-    s = B.table(spark, d, "documents").select("doc_id", chunking.split_sentences(F.col("text")).alias("s"))
+    s = B.documents(spark, d).select("doc_id", chunking.split_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 @query()
 def q_sentence_chunks(spark, d):
-    return chunking.by_sentences(B.table(spark, d, "documents")).select("chunk_id", "start_char", "end_char", F.md5("content").alias("digest"))
+    return chunking.by_sentences(B.documents(spark, d)).select("chunk_id", "start_char", "end_char", F.md5("content").alias("digest"))
 
 
 @query()
 def q_chunk_sentence_cuts(spark, d):
-    return chunking.by_chars_at_sentences(B.table(spark, d, "documents")).select("chunk_id", "start_char", "end_char", F.md5("content").alias("digest"))
+    return chunking.by_chars_at_sentences(B.documents(spark, d)).select("chunk_id", "start_char", "end_char", F.md5("content").alias("digest"))
 
 
 # Keywords
@@ -100,7 +100,7 @@ def q_chunk_sentence_cuts(spark, d):
 @query(f"select doc_id, len(t)::int as n_tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {_TOKENS.format('text')} as t from documents)")
 def q_tokens(spark, d):
     t = X.tokens("text")
-    return B.table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return B.documents(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 @query(f"with {_POST} select term, df, max(tf) as most, sum(tf)::bigint as total from post join df using (term) group by all")
