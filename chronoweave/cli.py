@@ -9,6 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 
 from .config import Config
+from .operators import dedupe, validate
 from .operators.graph import Graph
 from .operators.retrieve import Retriever
 from .plans import questions
@@ -52,20 +53,54 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--mode", default="hybrid", choices=["hybrid", "keyword", "semantic", "voting", "voting-details", "hierarchical", "entity"])
     s.add_argument("--fusion")
     s.add_argument("--entity")
-    for name in ("parse", "plan"):
+    for name in ("parse", "plan", "generate"):
         sub.add_parser(name).add_argument("question")
+    for name in ("validate", "filter"):
+        one = sub.add_parser(name)
+        one.add_argument("events")
+        one.add_argument("-o", "--output")
+    done = sub.add_parser("execute")
+    done.add_argument("path")
+    done.add_argument("plan_file")
+    near = sub.add_parser("chunks")
+    near.add_argument("path")
+    near.add_argument("query")
+    near.add_argument("--chunks", required=True)
+    near.add_argument("--before", type=int, default=0)
+    near.add_argument("--after", type=int, default=0)
+    near.add_argument("-k", type=int, default=5)
     ask = sub.add_parser("query")
     ask.add_argument("path")
     ask.add_argument("question")
     return p
 
 
+def _standalone(spark, a) -> None:
+    """validate and filter: a file of events in, the table shown, or written as JSON lines to -o."""
+    rows = files.events(spark, a.events)
+    out = validate.validate(rows) if a.command == "validate" else dedupe.overlapping(rows)
+    if a.output:
+        out.write.mode("overwrite").json(a.output)
+    else:
+        _show(out, a.json)
+
+
+def _task_plan(row) -> questions.Plan:
+    """A saved plan; parameters of its tasks are texts."""
+    tasks = [questions.Task(t.task_id, t.question or "", t.tool, dict(t.tool_params or {}), list(t.depends_on or []), t.reasoning or "") for t in row.subtasks]
+    return questions.Plan(row.original_query, {}, tasks, len(tasks), row.timestamp)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    if a.command in ("parse", "plan"):
-        print(json.dumps(asdict(questions.parse(a.question) if a.command == "parse" else questions.plan(a.question)), indent=2, ensure_ascii=False))
+    if a.command in ("parse", "plan", "generate"):
+        made = {"parse": lambda q: asdict(questions.parse(q)), "plan": lambda q: asdict(questions.plan(q)), "generate": lambda q: questions.retrieval_queries(questions.parse(q).question_stem)}[a.command](a.question)
+        print(json.dumps(made, indent=2, ensure_ascii=False))
         return
     spark, config = session(), Config.load(a.config)
+    if a.command in ("validate", "filter"):
+        _standalone(spark, a)
+        return
     if a.command == "pipeline":
         from .plans.extraction import Pipeline
 
@@ -97,11 +132,16 @@ def main(argv: list[str] | None = None) -> None:
         _show(out, a.json)
         return
 
+    if a.command == "chunks":
+        _show(r.chunks(a.query, files.read_chunks(spark, a.chunks), a.k, a.before, a.after), a.json)
+        return
+
     def found(query: str) -> DataFrame:
         hits = r.search(query, 20, "event").select("node_id")
         return graph.events.join(hits, graph.events["event_id"].cast("string") == hits["node_id"], "left_semi")
 
-    done = questions.execute(questions.plan(a.question), found)
+    made = questions.plan(a.question) if a.command == "query" else _task_plan(files.last_plan(spark, a.plan_file).first())
+    done = questions.execute(made, found)
     print(json.dumps(done["status"], indent=2))
     if done["final"] is not None:
         _show(done["final"], a.json)

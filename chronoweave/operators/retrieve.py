@@ -116,6 +116,14 @@ class Retriever:
         ids = self.graph.entity_events(ents).select(F.col("event_id").cast("string").alias("node_id")).distinct()
         return R.top_k(entity_context(self.nodes("event").join(ids, "node_id"), F.col("text"), query), k or self.config.retriever.top_k)
 
+    def chunks(self, query: str, chunks: DataFrame, k: int = 5, before: int = 0, after: int = 0) -> DataFrame:
+        """The chunks that the k best events were read in, each once; with before or after also those around them."""
+        hits = self.search(query, k, "event").select("node_id")
+        events = self.graph.events.join(hits, F.col("event_id").cast("string") == F.col("node_id"), "left_semi")
+        if before or after:
+            return provenance.surrounding_events(events, chunks, before, after)
+        return provenance.event_chunks(events, chunks, distinct=True)
+
     def many(self, queries: dict, *, entity_k: int = 5, timeline_k: int = 10, event_k: int = 20, mode: str = "hybrid") -> dict[str, DataFrame]:
         """queries: entity_query, timeline_query, event_queries. Events of several queries in their order, each once; then
         the events of the timelines found."""

@@ -14,6 +14,7 @@ from ..operators.semantic import embed_distinct, hashing_embedder
 from ..schemas import ANSWERS
 from ..sources.files import exists, stage_path
 from .providers import Provider, Rules, year_events
+from .timelines import iterative
 
 STAGES = ("chunk", "event", "validate", "filter", "disambiguate", "timeline", "graph")
 
@@ -74,9 +75,9 @@ def timelines(event_rows: DataFrame, least: int = 2) -> DataFrame:
 class Pipeline:
     """Runs the stages from `start` to `end`; a stage before `start` is read from where it was written."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, *, split: str = "test", provider: Provider | None = None, embed: Callable[[Column], Column] | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, *, split: str = "test", provider: Provider | None = None, embed: Callable[[Column], Column] | None = None, timeline_provider: Provider | None = None):
         self.spark, self.config, self.split = spark, config or Config(), split
-        self.provider, self.embed = provider or Rules(year_events()), embed
+        self.provider, self.embed, self.timeline_provider = provider or Rules(year_events()), embed, timeline_provider
 
     def path(self, stage: str) -> str:
         return stage_path(self.config.data_dir, stage, self.split)
@@ -119,7 +120,13 @@ class Pipeline:
         return {"mentions": labelled, "disambiguate": self._kept("disambiguate", cluster.summarise(labelled))}
 
     def _timeline(self, _):
-        return {"timeline": self._kept("timeline", timelines(self._input("filter", "validate", "event")))}
+        rows = self._input("filter", "validate", "event")
+        if self.timeline_provider is None:
+            return {"timeline": self._kept("timeline", timelines(rows))}
+        lines, alone = iterative(timeline.by_entity(rows), self.timeline_provider)
+        lines = lines.withColumnRenamed("entity", "entity_canonical_name").withColumn("ord", F.xxhash64("entity_canonical_name", "timeline_id"))
+        lines = lines.withColumn("timeline_id", F.concat_ws("/", "entity_canonical_name", "timeline_id"))
+        return {"timeline": self._kept("timeline", lines), "standalone": self._kept("standalone", alone)}
 
     def _graph(self, _):
         g = graph.build(self._input("filter", "validate", "event"), self._input("disambiguate"), self._input("timeline"))

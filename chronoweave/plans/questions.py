@@ -135,6 +135,14 @@ def overlap(df: DataFrame, period: DataFrame) -> DataFrame:
     return _bounds(df).crossJoin(F.broadcast(span)).where((F.col("lo") <= F.col("_hi")) & (F.col("hi") >= F.col("_lo"))).drop("lo", "hi", "_lo", "_hi")
 
 
+def compare(a: DataFrame, b: DataFrame, sign: str = "=") -> DataFrame:
+    """a, b, value: two results of one row each compared; more rows are an error, not a product."""
+    if sign not in ("=", "<", ">", "<=", ">=", "<>"):
+        raise ValueError(f"no such comparison: {sign}")
+    one = lambda df, name: df.agg(F.when(F.count(F.lit(1)) > 1, F.raise_error("a comparison needs one row on each side")).otherwise(F.first("value")).alias(name))
+    return one(a, "a").crossJoin(F.broadcast(one(b, "b"))).select("a", "b", F.expr(f"a {sign} b").alias("value"))
+
+
 AGGREGATES = {"count": lambda c: F.count(F.lit(1)), "sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}
 OPERATIONS = {
     "filter_time": lambda inputs, p: filter_time(inputs[0], p.get("start"), p.get("end")),
@@ -143,7 +151,7 @@ OPERATIONS = {
     "extract": lambda inputs, p: inputs[0].select(p["column"]),
     "aggregate": lambda inputs, p: inputs[0].agg(AGGREGATES[p["fn"]](F.col(p["column"]) if "column" in p else None).alias("value")),
     "earliest": lambda inputs, p: inputs[0].orderBy(F.col("time_start").asc_nulls_last()).limit(1),
-    "compare": lambda inputs, p: inputs[0].select(F.col("value").alias("a")).crossJoin(inputs[1].select(F.col("value").alias("b"))).select("a", "b", F.expr(f"a {p.get('sign', '=')} b").alias("value")),
+    "compare": lambda inputs, p: compare(*inputs[:2], p.get("sign", "=")),
     "transform": lambda inputs, p: inputs[0].withColumn(p["name"], F.expr(p["expression"])),
     "mentions": lambda inputs, p: inputs[0].where(F.lower("event_description").contains(str(p["text"]).lower())),
 }
@@ -174,13 +182,3 @@ def execute(made: Plan, search) -> dict:
             break
     done = [s["task_id"] for s in status if s["success"]]
     return {"success": len(done) == len(made.subtasks), "final": results[done[-1]] if done else None, "results": results, "status": status}
-
-
-def relevant(relations: DataFrame, indices: DataFrame | None, order: Column) -> DataFrame:
-    """Rows at the given places (from 0, repeated ones once, others passed over); all rows if there is no answer."""
-    from pyspark.sql import Window
-
-    if indices is None:
-        return relations
-    placed = relations.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
-    return placed.join(indices.select(F.explode("relevant_indices").alias("_i")), "_i", "left_semi").drop("_i")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
 from ..operators.ranking import last_wins
-from ..schemas import CHUNK, DOCUMENT, EDGE, EVENT, NODE, PLAN
+from ..schemas import CHUNK, DOCUMENT, EDGE, EVENT, NODE, PLAN, QUESTION
 
-__all__ = ["append", "documents", "exists", "graph_from_folders", "graph_from_graphml", "graph_from_json", "graph_to_graphml", "graph_to_json", "last_plan", "read_stage", "stage_path", "write_stage"]
+__all__ = ["append", "documents", "events", "exists", "graph_from_folders", "graph_from_graphml", "graph_from_json", "graph_to_graphml", "graph_to_json", "last_plan", "question", "read_chunks", "read_stage", "save_result", "stage_path", "write_stage"]
 
 STAGES = {"event": EVENT, "validate": EVENT, "filter": EVENT, "chunk": CHUNK}
 
@@ -55,6 +57,11 @@ def read_stage(spark: SparkSession, base: str, split: str, stages: tuple[str, ..
     raise FileNotFoundError(f"none of {', '.join(stages)} has been written for {split} under {base}")
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """A chunk stage's table, or a JSON list of chunks."""
+    return _json(spark, path, CHUNK) if path.endswith(".json") else spark.read.parquet(path)
+
+
 def append(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("append").format(fmt).save(path)
 
@@ -65,6 +72,27 @@ def last_plan(spark: SparkSession, path: str) -> DataFrame:
     return rows.orderBy(F.col("ord").desc()).limit(1).drop("ord")
 
 
+def question(spark: SparkSession, path: str) -> DataFrame | None:
+    """A question's analysis, one row; None where the file is missing or is none, so that a search goes on without it."""
+    if not exists(spark, path):
+        return None
+    rows = _json(spark, path, QUESTION).where("original_question is not null").limit(1)
+    return rows if rows.count() else None
+
+
+def events(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON list of events, with ord: their place in the list."""
+    raw = _json(spark, path, EVENT).withColumn("place", F.monotonically_increasing_id())
+    return raw.withColumnRenamed("place", "ord")
+
+
+def save_result(df: DataFrame, folder: str, name: str = "result") -> str:
+    """A run's result as JSON lines in a folder of its own, named by the time; returns its path."""
+    path = f"{folder.rstrip('/')}/{name}-{datetime.now(UTC):%Y%m%d-%H%M%S-%f}"
+    df.write.json(path)
+    return path
+
+
 def _list(c: str):
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
@@ -85,7 +113,9 @@ def _graph(nodes: DataFrame, edges: DataFrame) -> Graph:
 
 def graph_from_json(spark: SparkSession, path: str) -> Graph:
     """{"nodes": [...], "edges": [...]}."""
-    if not path.endswith(".json") and not exists(spark, path):
+    if not path.endswith(".json"):
+        raise ValueError(f"not a .json file: {path}")
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     types = lambda ddl: "struct<" + ",".join(":".join(("`" + c.strip().split(" ")[0] + "`", c.strip().split(" ")[1])) for c in ddl.split(",")) + ">"
     raw = _json(spark, path, f"nodes array<{types(NODE)}>, edges array<{types(EDGE)}>")
