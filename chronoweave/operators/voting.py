@@ -16,7 +16,7 @@ def collect_votes(entities: DataFrame, timelines: DataFrame, events: DataFrame,
     cols = ("event_id", "layer", "source_id", "source_score", "weight", "rank")
 
     def cast(hits: DataFrame, layer: str, decay: float) -> DataFrame:
-        return hits.select("event_id", F.lit(layer).alias("layer"), F.col("node_id").alias("source_id"), F.col("score").alias("source_score"), (F.col("score") * decay).alias("weight"), "rank").select(*cols)
+        return hits.select("event_id", F.lit(layer).alias("layer"), F.col("node_id").cast("string").alias("source_id"), F.col("score").alias("source_score"), (F.col("score") * decay).alias("weight"), "rank").select(*cols)
 
     by_entity = entities.join(participates.select(F.col("name").alias("node_id"), "event_id"), "node_id")
     by_timeline = timelines.join(belongs.select(F.col("timeline_id").alias("node_id"), "event_id"), "node_id")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from . import bridge as B
 from .functions import temporal as T
 from .functions import text as X
-from .operators import chunking, cluster, dedupe, graph, keyword, provenance, semantic, timeline, validate, voting
+from .functions import vector as V
+from .operators import chunking, cluster, dedupe, graph, keyword, provenance, relations, semantic, timeline, validate, voting
 from .operators import ranking as R
-from .plans import questions
+from .plans import providers, questions
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -578,3 +579,265 @@ def q_cluster_entities(spark, d):
     v = B.vectors(spark, d)
     mentions = v.select(F.col("node_id").alias("mention_id"), "ord", F.concat(F.lit("n"), "node_id").alias("name"), F.concat(F.lit("n"), "node_id").alias("canonical_name"), F.lit("").alias("description"), F.col("node_id").cast("string").alias("event_id"), "embedding", "label")
     return cluster.summarise(cluster.clusters(mentions, least=0.35, block=["label"])).select("cluster_id", "canonical_name", "member_count")
+
+
+# Validation, answers and tables of the extraction's stages
+
+_OK_BEFORE = r"(was is null or was = '' or lower(was) = 'null' or regexp_full_match(was, '\d{4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01]))?)?'))"
+_REPAIRED = _ALL_BAD + r""", x as (select k, s, regexp_extract(s, '(\d{4})-(\d{1,2})-(\d{1,2})', ['y', 'm', 'd']) as a,
+    regexp_extract(s, '(\d{4})-(\d{1,2})(?:\D|$)', ['y', 'm']) as b, regexp_extract(s, '\b(\d{4})\b', 1) as c from r),
+found as (select k, s, case
+    when try_cast(a.m as int) between 1 and 12 and try_cast(a.d as int) between 1 and 31 then a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0')
+    when try_cast(b.m as int) between 1 and 12 then b.y || '-' || lpad(b.m, 2, '0')
+    when try_cast(c as int) between 1000 and 2100 then c end as found from x),
+fixed as (select k, s as was, case when """ + _OK + """ then s else coalesce(found, s) end as s from found),
+v as (select k, s, case when """ + _OK_BEFORE + " then 'valid' when " + _OK + " then 'rule_fixed' else 'invalid' end as status from fixed)"
+
+
+def _validated(spark, d, answers=None):
+    rows = _bad_times(spark, d).select(F.col("k").alias("event_id"), F.col("s").alias("time_start"), F.when(F.col("k") % 2 == 1, F.col("s")).alias("time_end"))
+    return validate.validate(rows, answers)
+
+
+@query(f"{_REPAIRED} select k as event_id, s as time_start, case when k % 2 = 1 then s end as time_end, status, case when status = 'valid' then 0 else 1 + k % 2 end::int as n_issues from v")
+def q_issues(spark, d):
+    return _validated(spark, d).select("event_id", "time_start", "time_end", "status", F.size("issues").alias("n_issues"))
+
+
+_FIX = {0: "2001", 1: "null", 2: "not a time"}
+
+
+@query(f"""{_REPAIRED}, w as (select k, status, case when status <> 'invalid' or k % 3 = 2 then s when k % 3 = 0 then '2001' end as s,
+    case when k % 2 = 1 then s end as e from v)
+select k as event_id, s as time_start, case when status = 'invalid' and k % 2 = 1 then null else e end as time_end,
+    case when status = 'invalid' and k % 3 <> 2 then 'llm_fixed' else status end as status from w""")
+def q_answer_merge(spark, d):
+    fix = F.when(F.col("k") % 3 == 0, _FIX[0]).when(F.col("k") % 3 == 1, _FIX[1]).otherwise(_FIX[2])
+    fixes = _bad_times(spark, d).select(F.col("k").alias("event_id"), F.struct(fix.alias("time_start"), F.lit("null").alias("time_end")).alias("fix"))
+    return _validated(spark, d, fixes).select("event_id", "time_start", "time_end", "status")
+
+
+@query(f"{_REPAIRED} select status, count(*) as n from v group by status")
+def q_validation_summary(spark, d):
+    return validate.summary(_validated(spark, d))
+
+
+@query("""select event_id, case when event_id % 5 = 0 then null else event_id end as n, case when event_id % 5 = 0 then null else event_type end as kind from events""")
+def q_json_answer(spark, d):
+    e = B.table(spark, d, "events")
+    body = F.to_json(F.struct(F.col("event_id").alias("n"), F.col("event_type").alias("kind")))
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))
+    told = F.when(F.col("event_id") % 5 == 0, F.lit('{"n": ')).when(F.col("event_id") % 2 == 0, body).otherwise(fenced)
+    return e.select("event_id", X.answer(told, "n long, kind string").alias("a")).select("event_id", "a.n", "a.kind")
+
+
+_MENTIONS = f"with {_TEV}, m as (select event_id, event_type as name, 'cluster-' || user_id as cluster_id from tev)"
+
+
+def _labelled(spark, d):
+    kind = F.col("event_type")
+    return B.tev(spark, d).select(kind.alias("name"), kind.alias("canonical_name"), kind.alias("description"), F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("cluster-"), F.col("user_id").cast("string")).alias("cluster_id"), "ord")
+
+
+@query(f"""{_MENTIONS} select cluster_id, arg_max(name, (length(name), -event_id)) as canonical_name, array_to_string(list_sort(list(distinct name)), '; ') as merged_description,
+    count(*)::int as member_count, array_to_string(list_sort(list(distinct event_id::varchar)), ',') as ids, min(event_id) as ord, string_agg(name, ',' order by event_id) as members from m group by cluster_id""")
+def q_cluster_summary(spark, d):
+    out = cluster.summarise(_labelled(spark, d))
+    ids, members = F.array_join("source_event_ids", ","), F.array_join(F.transform("member_entities", lambda m: m["name"]), ",")
+    return out.select("cluster_id", "canonical_name", "merged_description", "member_count", ids.alias("ids"), "ord", members.alias("members"))
+
+
+@query(f"{_MENTIONS} select name as text, arg_max(cluster_id, event_id) as cluster_id from m group by name")
+def q_mention_map(spark, d):
+    return cluster.mention_map(_labelled(spark, d))
+
+
+@query(f"with {_TEV} select 'user' || user_id as entity, event_id from tev where user_id in (select c_custkey from customer where c_nationkey < 12)")
+def q_events_by_entity(spark, d):
+    e = B.stages(spark, d)[0].select(F.col("event_id").cast("long").alias("event_id"), "entities")
+    asked = B.table(spark, d, "customer").where("c_nationkey < 12").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("name"))
+    return timeline.by_entity(e, asked).select("entity", "event_id")
+
+
+_BATCHED = f"with {_TEV}, bt as (select *, ((row_number() over (partition by user_id order by time_start, event_id) - 1) // 20)::int as batch from tev)"
+
+
+def _told(spark, d):
+    """What each batch of an entity's events says of its timelines: one for every type."""
+    e = timeline.batches(B.tev(spark, d).withColumn("entity", F.concat(F.lit("user"), F.col("user_id").cast("string"))))
+    line = F.concat_ws("/", "entity", "event_type").alias("timeline_id")
+    return e.groupBy("entity", "batch", line).agg(F.array_sort(F.collect_list("event_id")).alias("event_ids")).withColumn("timeline_name", F.concat_ws(" ", F.lit("part"), "batch")).withColumn("description", F.lit(""))
+
+
+@query(f"""{_BATCHED} select 'user' || user_id as entity, 'user' || user_id || '/' || event_type as timeline_id, 'part ' || min(batch) as timeline_name, min(batch) as first_batch,
+    string_agg(event_id::varchar, ',' order by batch, event_id) as ids, min(time_start) as time_span_start, max(coalesce(time_end, time_start)) as time_span_end from bt group by user_id, event_type""")
+def q_merge_batches(spark, d):
+    out = timeline.merge_batches(_told(spark, d), B.tev(spark, d))
+    return out.select("entity", "timeline_id", "timeline_name", "first_batch", F.array_join("event_ids", ",").alias("ids"), "time_span_start", "time_span_end")
+
+
+@query(f"{_BATCHED}, one as (select user_id, batch, event_type, min(event_id) as event_id from bt group by all having count(*) = 1) select 'user' || user_id as entity, event_id from one where event_id not in (select event_id from pos where not ends_with(timeline_id, '/click'))")
+def q_standalone(spark, d):
+    alone = _told(spark, d).where(F.size("event_ids") == 1).select("entity", F.col("event_ids")[0].alias("event_id"), F.lit("alone").alias("reason"))
+    lines = B.stages(spark, d)[2].where(~F.col("timeline_id").endswith("/click")).select(F.col("entity_canonical_name").alias("entity"), F.transform("event_ids", lambda x: x.cast("long")).alias("event_ids"))
+    return timeline.standalone(alone, lines).select("entity", "event_id")
+
+
+@query(f"with {_TEV} select 'user' || user_id || '/' || event_type as line, printf('timeline-%04d', row_number() over (order by user_id, first) - 1) as timeline_id from tl")
+def q_timeline_numbers(spark, d):
+    lines = B.graph(spark, d).timelines.select(F.col("timeline_id").alias("line"), F.col("user_id").alias("entity_ord"), F.col("ord").alias("position"))
+    return timeline.numbered_timelines(lines).select("line", "timeline_id")
+
+
+@query(f"with {_TURNS} select conv_id, turn, 0 as n, 0::bigint as chars from t")
+def q_prior_none(spark, d):
+    return _prior(spark, d, "none")
+
+
+# Graph and ranking, further
+
+
+@query(f"with {_TEV} select 'entity' as kind, 'user7' as key, min(event_id) as ord from tev where user_id = 7 having count(*) > 0 union all select 'event', '12', event_id from tev where event_id = 12 union all select 'timeline', timeline_id, first from tl where timeline_id = 'user7/click'")
+def q_point_lookup(spark, d):
+    g = B.graph(spark, d)
+    found = [("entity", g.entity("user7"), "name"), ("event", g.event("12"), "event_id"), ("timeline", g.timeline("user7/click"), "timeline_id")]
+    rows = [df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "ord") for kind, df, key in found]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"with {_TEV} select 'user' || user_id as key, min(event_id) as ord from tev group by user_id union all select timeline_id, first from tl")
+def q_list_keys(spark, d):
+    g = B.graph(spark, d)
+    return g.keys("entity").withColumnRenamed("name", "key").unionByName(g.keys("timeline").withColumnRenamed("timeline_id", "key"))
+
+
+@query(f"with {_TEV} select 'belongs_to' as type, count(*) as n from pos union all select 'participates_in', count(*) from tev union all select 'has_timeline', count(*) from tl union all select 'entity', count(distinct user_id) from tev union all select 'event', count(*) from tev union all select 'timeline', count(*) from tl")
+def q_build_report(spark, d):
+    return graph.build_report(graph.build(*B.stages(spark, d)))
+
+
+@query(f"with {_COS} select label, vec_id as node_id, score, row_number() over (partition by label order by score desc, vec_id) - 1 as rank from cs qualify rank < 3")
+def q_grouped_topk(spark, d):
+    return R.top_k_within(B.scored_vectors(spark, d), ["label"], 3).select("label", "node_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {_TEV} select user_id, event_type, max(event_id) as event_id from tev group by all")
+def q_last_wins(spark, d):
+    return R.last_wins(B.tev(spark, d), ["user_id", "event_type"], "ord").select("user_id", "event_type", "event_id")
+
+
+@query(f"{_VOTES}, s as (select event_id, count(*) as vote_count, sum(w * v) as score from votes group by event_id having count(*) >= 3) select event_id, vote_count, round(score, 6) as score, vote_count::int as n_details, (select string_agg(layer, ',' order by layer) from votes x where x.event_id = s.event_id) as layers from s where score >= 0.1")
+def q_elect(spark, d):
+    # three votes take one of the event layer, which has 20
+    out = voting.elect(_votes(spark, d), B.tev(spark, d).select("event_id", "ord"), 20, "weighted", min_votes=3, min_score=0.1, details=True)
+    return out.select("event_id", "vote_count", F.round("score", 6).alias("score"), F.size("votes").alias("n_details"), F.array_join(F.transform("votes", lambda v: v["layer"]), ",").alias("layers"))
+
+
+@query(f"{_HIER} select g.node_id, e.node_id as names, e.score as top from g left join e on g.entity = e.node_id")
+def q_provenance(spark, d):
+    g, el, _ = _layers(spark, d)
+    ents = R.with_rank(R.top_k(el, 3, order="node_id"), order="node_id").withColumnRenamed("node_id", "name")
+    out = voting.provenance(g.select("node_id"), g.select(F.col("entity").alias("name"), "node_id", "ord"), ents, "node_id")
+    return out.select("node_id", F.array_join("source_entity_names", ",").alias("names"), F.element_at("source_entity_scores", 1).alias("top"))
+
+
+@query(f"with {_CHUNKS}, h as (select distinct c.chunk_id from events join c on c.chunk_id = (event_id % 97)::varchar || '-chunk-' || lpad((event_id % 7)::varchar, 4, '0')) select a.chunk_id as centre, b.chunk_id, (b.turn - a.turn)::int as offset from i a join i b on a.conv_id = b.conv_id and a.g = b.g and b.turn between a.turn - 1 and a.turn + 2 where a.chunk_id in (select chunk_id from h)")
+def q_surrounding_events(spark, d):
+    e = B.tev(spark, d).select("event_id", "ord", X.numbered((F.col("event_id") % 97).cast("string"), "chunk", (F.col("event_id") % 7).cast("int")).alias("chunk_id"))
+    return provenance.surrounding_events(e, _conv_chunks(spark, d), 1, 2).select("centre", "chunk_id", "offset")
+
+
+# Texts and times, further
+
+
+@query(f"""with {_TEV} select event_id, concat_ws(' ', event_type, time_start, time_end, 'u' || user_id || ' ' || event_type) as event, concat_ws(' ', event_type, time_type, 'u' || user_id) as entity,
+    concat_ws(' ', event_type, time_end, time_type) as timeline, concat_ws('|', event_type, time_start, time_end) as embedded, trim(event_type || ' ' || event_type || '. ' || coalesce(time_end, '')) as disambiguation,
+    event_type || '(u' || user_id || ', ' || time_type || ', ' || time_start || case when time_end is null then '' else ', ' || time_end end || ')' as relation from tev""")
+def q_texts(spark, d):
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    return B.tev(spark, d).select(
+        "event_id",
+        X.event_text("event_type", "time_start", "time_end", F.array(user, F.col("event_type"))).alias("event"),
+        X.entity_text("event_type", "time_type", F.array(user)).alias("entity"),
+        X.timeline_text("event_type", "time_end", "time_type").alias("timeline"),
+        X.embed_text("event_type", "time_start", "time_end").alias("embedded"),
+        X.disambiguation_text("event_type", "time_end", 2.0).alias("disambiguation"),
+        X.relation_text("event_type", user, "time_type").alias("relation"),
+    )
+
+
+@query(f"with {_TEV}, p as (select event_id, user_id, {_PARTS.format('time_start')} from tev) select user_id, arg_min(event_id, (y, coalesce(m, 0), coalesce(d, 0), event_id)) as first, arg_max(event_id, (y, coalesce(m, 0), coalesce(d, 0), event_id)) as last from p group by user_id")
+def q_time_order(spark, d):
+    e = B.tev(spark, d).withColumn("o", F.struct(T.order_key(T.parse("time_start")).alias("t"), "event_id"))
+    return e.groupBy("user_id").agg(F.min_by("event_id", "o").alias("first"), F.max_by("event_id", "o").alias("last"))
+
+
+@query(f"with {_TEV} select event_id, case length(time_start) when 4 then '%d/%m' when 7 then '%d/' || time_start[6:7] else time_start[9:10] || '/' || time_start[6:7] end || '/' || time_start[1:4] || ' ' || time_start[3:4] as shown, case length(time_start) when 4 then 1 when 7 then 2 else 3 end as grain, time_start[1:4]::int as year from tev")
+def q_time_format(spark, d):
+    e = B.tev(spark, d).withColumn("t", T.parse("time_start"))
+    return e.select("event_id", T.formatted("t", "%d/%m/%Y %y").alias("shown"), T.granularity_score("time_start").alias("grain"), T.year_prefix("time_start").alias("year"))
+
+
+@query("select o_orderkey, strftime(o_orderdate::date, '%Y-%m-%d') as day from orders")
+def q_from_ordinal(spark, d):
+    n = F.datediff("o_orderdate", F.lit("0001-01-01").cast("date")) + 1
+    return B.table(spark, d, "orders").select("o_orderkey", T.to_text(T.from_ordinal(n)).alias("day"))
+
+
+_STOP = ["the", "of", "and", "to", "in", "is", "a"]
+
+
+@query(f"select doc_id, len(t)::int as n, array_to_string(list_sort(list_distinct(t)), ' ') as words from (select doc_id, list_filter({_TOKENS.format('text')}, lambda x: not list_contains({_STOP!r}, x)) as t from documents)")
+def q_tokens_stopped(spark, d):
+    t = B.documents(spark, d).select("doc_id", X.tokens("text", stopwords=_STOP).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("words"))
+
+
+@query("with v as (select vec_id, embedding::double[] as e from embeddings), n as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from v) select vec_id, round(u[1], 6) as first, round(u[-1], 6) as last, round(list_dot_product(u, u), 6) as squared from n")
+def q_normalised(spark, d):
+    v = B.table(spark, d, "embeddings").select("vec_id", V.normalised("embedding").alias("u"))
+    return v.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.element_at("u", -1), 6).alias("last"), F.round(V.dot("u", "u"), 6).alias("squared"))
+
+
+# Relations and plans
+
+
+def _named_events(spark, d):
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    return B.tev(spark, d).withColumn("event_description", F.col("event_type")).withColumn("entity_names", F.array(user, F.col("event_type"), F.col("time_type")))
+
+
+@query(f"""with {_TEV}, o as (select *, 0 as i, event_type as other from tev union all select *, 1, time_type from tev)
+select event_id || '-rel-' || i as relation_id, 'related_to' as relation_type, 'u' || user_id as subject, other as object_entity, time_start, time_end, 1.0::double as confidence, event_id::varchar as source, event_type as source_description from o""")
+def q_structurise(spark, d):
+    out = relations.structurise(_named_events(spark, d), providers.Rules(relations.by_rule()))
+    return out.select("relation_id", "relation_type", "subject", "object_entity", "time_start", "time_end", "confidence", F.array_join("source_event_ids", ",").alias("source"), "source_description")
+
+
+@query(f"with {_TEV}, {_BOUNDS} select event_id || '-rel-' || i as relation_id from b, (values (0), (1)) as v(i) where lo <= date '2026-02-28' and hi >= date '2025-03-01'")
+def q_relations_in_time(spark, d):
+    out = relations.structurise(_named_events(spark, d), providers.Rules(relations.by_rule()))
+    return relations.in_time(out, "2025-03", "2026-02").select("relation_id")
+
+
+@query(f"with {_TEV}, {_BOUNDS} select count(*) as value from b join tev using (event_id) where event_type = 'click' and lo <= date '2026-12-31' and hi >= date '2025-01-01'")
+def q_plan_execute(spark, d):
+    made = questions.plan("How many events of click happened between 2025 and 2026?")
+    events = B.tev(spark, d).withColumn("event_description", F.col("event_type"))
+    run = questions.execute(made, lambda text: questions.OPERATIONS["mentions"]([events], {"text": "click"}))
+    if not run["success"]:
+        raise ValueError(run["status"])
+    return run["final"]
+
+
+@query(f"with {_TEV}, {_BOUNDS}, p as (select min(lo) as l, max(hi) as h from b where user_id = 3) select event_id from b, p where lo <= h and hi >= l")
+def q_plan_overlap(spark, d):
+    e = B.tev(spark, d)
+    return questions.OPERATIONS["overlap"]([e, e.where("user_id = 3")], {}).select("event_id")
+
+
+@query(f"with {_TEV} select a, b, a > b as value from (select count(*) filter (event_type = 'click') as a, count(*) filter (event_type = 'view') as b from tev)")
+def q_plan_compare(spark, d):
+    run, e = questions.OPERATIONS, B.tev(spark, d)
+    one = lambda kind: run["aggregate"]([e.where(F.col("event_type") == kind)], {"fn": "count"})
+    return run["compare"]([one("click"), one("view")], {"sign": ">"})
