@@ -30,6 +30,21 @@ def test_near_vectors(spark):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (met[k].sum(), least[k], least[k] == k)
 
 
+def test_wide_tables_find_the_same_links(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 24))
+    x = np.concatenate([base, base + 0.12 * rng.standard_normal((300, 24))]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    met = u @ u.T >= 0.98
+    np.fill_diagonal(met, False)
+    assert met.sum() > 300
+    df = frame(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)])
+    got = {r.vec_id: r.n_links for r in itq.near_vectors(df, table_bits=14).collect()}
+    assert [got[k] for k in range(len(x))] == met.sum(1).tolist()
+    assert itq.shape(1_000, 0.98, 512) == (8, 8) and itq.shape(1 << 30, 0.98, 512)[0] == 21
+    assert itq.shape(10, 1.0, 512) == (8, 8)
+
+
 def test_near_vectors_edges(spark):
     rows = itq.near_vectors(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD)
