@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,17 @@ from pyspark.sql import functions as F
 from .common import Saved, small
 from .vectors import list_batches, matrix, unit, usable
 
-#: Tables, and signed axes that a query looks into in each. A table has twice as many axes as the (padded) dimension.
+#: Tables, and cells that a query looks into in each, while one polytope names the cells. It has twice as many signed
+#: axes as the (padded) dimension.
 TABLES, PROBES = 8, 16
+#: The same once cells have `bits` from further polytopes: MORE_TABLES, and MORE_PROBES * PROBE_GROWTH ** bits.
+MORE_TABLES, MORE_PROBES, PROBE_GROWTH = 24, 4, 1.3
 #: Vectors, and queries, in one block of a cell.
 BLOCK = 512
-#: Pairs whose exact products are computed at once.
-PAIRS = 16_384
+#: Distinct vectors of one length that a cell holds on average, at most: where it would hold more, cells get more bits.
+CELL_ROWS = 512
+#: Pairs whose exact products are computed at once, and sums of nearness when probes are chosen.
+PAIRS, SUMS = 16_384, 1 << 21
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -42,31 +48,70 @@ def rotated(x: np.ndarray, table: int, seed: int = 9) -> np.ndarray:
     return y
 
 
-def cells(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The `probes` signed axes nearest to each row: 2 * axis, and 1 more where the sign is minus."""
-    y = rotated(unit(x), table)
-    signed = np.stack([y, -y], axis=2).reshape(len(y), -1)
-    return np.argsort(-signed, axis=1, kind="stable")[:, :probes]
+def axes(d: int) -> int:
+    """Signed axes of the polytope for vectors of d components: a power of two."""
+    return 4 if d < 2 else 2 << (d - 1).bit_length()
 
 
-def _hashed(rows: DataFrame, tables: int, probes: int, all_cells: bool = False) -> DataFrame:
-    """rows (id, least, v) with d, t and cell, a row for every probed cell. all_cells: each cell of the first table."""
+def cell_bits(d, n, cell_rows: int):
+    """Columns: bits beside the first polytope's axis that leave n spread vectors of d components cell_rows a cell or
+    fewer. The first polytope has axes(d) axes."""
+    polytope = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(2), d) - 0.5)) + 1)
+    return F.greatest(F.lit(0), F.ceil(F.log2(n / (polytope * cell_rows)))).cast("int")
+
+
+def effort(bits: int, tables: int, probes: int) -> tuple[int, int]:
+    """Tables, and probes in each, for cells of so many bits; tables and probes are those for none."""
+    return (tables, probes) if not bits else (MORE_TABLES, math.ceil(MORE_PROBES * PROBE_GROWTH**bits))
+
+
+def cells(x: np.ndarray, table: int, probes: int, bits: int = 0) -> np.ndarray:
+    """The `probes` cells (all, if fewer) nearest to each row, nearest first. A cell is one signed axis of each
+    polytope: 2 * axis, and 1 more where the sign is minus; the first polytope's is the highest digit. Each further
+    polytope, of a rotation of its own, adds as many bits as it has, the last the first axes for the bits left. Nearness
+    is the sum of the row's components along the axes, so the best cells are made of the best of each polytope."""
+    x = unit(x)
+    full = axes(x.shape[1]).bit_length() - 1
+    names, near = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    left, part = full + bits, 0
+    while left > 0:
+        here = min(left, full)
+        y = rotated(x, table, 9 + part)[:, : 1 << (here - 1)]
+        signed = np.stack([y, -y], axis=2).reshape(len(y), -1)
+        best = np.argsort(-signed, axis=1, kind="stable")[:, :probes]
+        good = np.take_along_axis(signed, best, 1)
+        total = (near[:, :, None] + good[:, None, :]).reshape(len(x), -1)
+        named = ((names[:, :, None] << here) + best[:, None, :]).reshape(len(x), -1)
+        order = np.argsort(-total, axis=1, kind="stable")[:, :probes]
+        names, near = np.take_along_axis(named, order, 1), np.take_along_axis(total, order, 1)
+        left, part = left - here, part + 1
+    return names
+
+
+def _hashed(rows: DataFrame, tables: int, probes: int, asking: bool) -> DataFrame:
+    """rows (id, least, v, bits) with d, t and cell: of each table the cell of the row or, asking, all probed ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = b.column("v")
-            lengths = np.array([len(v) for v in vectors])
+        for whole in batches:
+            lengths = np.array([len(v) for v in whole.column("v")])
+            bits = whole.column("bits").to_numpy(zero_copy_only=False)
             for d in np.unique(lengths):
-                at = np.flatnonzero(lengths == d)
-                x = matrix(vectors.take(pa.array(at)))
-                found = [np.arange(2 * rotated(x[:1], 0).shape[1])[None, :].repeat(len(x), 0)] if all_cells else [cells(x, t, probes) for t in range(tables)]
-                row = pa.array(np.concatenate([np.repeat(at, f.shape[1]) for f in found]))
-                t = np.concatenate([np.full(f.size, k) for k, f in enumerate(found)])
-                cell = np.concatenate([f.ravel() for f in found])
-                places = [pa.array(x, pa.int32()) for x in (np.full(len(row), d), t, cell)]
-                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), *places], names=[*b.schema.names, "d", "t", "cell"])
-
-    return rows.select("id", "least", "v").mapInArrow(run, "id long, least long, v array<double>, d int, t int, cell int")
+                n = int(bits[lengths == d][0])
+                t_all, p_all = effort(n, tables, probes)
+                p_all = p_all if asking else 1
+                mine = np.flatnonzero(lengths == d)
+                step = max(1, SUMS // (p_all * max(p_all, t_all)))
+                for lo in range(0, len(mine), step):
+                    b = whole.take(pa.array(mine[lo : lo + step])).drop_columns(["bits"])
+                    x = matrix(b.column("v"))
+                    found = [cells(x, t, p_all, n) for t in range(t_all)]
+                    row = pa.array(np.concatenate([np.repeat(np.arange(len(x)), f.shape[1]) for f in found]))
+                    t = np.concatenate([np.full(f.size, k) for k, f in enumerate(found)])
+                    cell = np.concatenate([f.ravel() for f in found])
+                    places = [pa.array(np.full(len(row), d), pa.int32()), pa.array(t, pa.int32()), pa.array(cell, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), *places], names=[*b.schema.names, "d", "t", "cell"])
+
+    return rows.select("id", "least", "v", "bits").mapInArrow(run, "id long, least long, v array<double>, d int, t int, cell long")
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -119,7 +164,7 @@ def _search(queries: DataFrame, index: DataFrame, k: int, block: int) -> DataFra
     return out
 
 
-def nearest(vectors: DataFrame, is_query, k: int, *, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int, *, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """For each row of vectors (vec_id, embedding) with is_query (a column over id): its k nearest among all other rows
     by inner product: query_id, rank (from 1), vec_id, score; nearest first, ties to the smaller vec_id.
 
@@ -127,11 +172,13 @@ def nearest(vectors: DataFrame, is_query, k: int, *, tables: int = TABLES, probe
     is met once. Unit vectors are hashed to the nearest signed axis of `tables` pseudo-random rotations; every class is
     indexed in all tables, a query looks into its `probes` nearest axes in each, and what it meets is ranked by the exact
     inner product of the original vectors in double precision; the best k + 1 classes (its own may be one) hold its k
-    nearest rows. Approximate: recall is measured in the tests. A query that meets fewer classes than that looks into all
-    cells of the first table, that is at every class of its length. Cells are split into blocks, so none grows with a
-    hot cell; each gives a query k + 1 classes at most. Vectors that are null, empty, zero or not finite take no part;
-    vectors of other lengths are no candidates. Rows that share an id are rows of their own: each is a candidate, and
-    each that asks gets its own answer. An empty table gives no rows."""
+    nearest rows. Where the classes of a length would be more than cell_rows a cell, cells get bits from further
+    polytopes (cell_bits), with tables and probes as effort() gives them: a query then meets a number of classes that
+    grows as about the 0.4th power of theirs. Approximate: recall is measured in the tests. A query that meets fewer than
+    k + 1 classes looks into all cells of the first table, that is at every class of its length. Cells are split into
+    blocks, so none grows with a hot cell; each gives a query k + 1 classes at most. Vectors that are null, empty, zero or
+    not finite take no part; vectors of other lengths are no candidates. Rows that share an id are rows of their own: each
+    is a candidate, and each that asks gets its own answer. An empty table gives no rows."""
     good = Saved(usable(vectors).select("id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
     distinct = good.df.groupBy("v").agg(F.min("id").alias("least"))
     classes = Saved(distinct.select(F.monotonically_increasing_id().alias("cls"), "v", "least"), "classes")
@@ -140,14 +187,20 @@ def nearest(vectors: DataFrame, is_query, k: int, *, tables: int = TABLES, probe
     place = F.row_number().over(Window.partitionBy("cls").orderBy("id", "row"))
     members = rows.df.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
     asked = rows.df.where(is_query)
-    named = classes.df.select(F.col("cls").alias("id"), "least", "v")
+    per_length = classes.df.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("m"))
+    lengths = Saved(per_length.select("n", cell_bits(F.col("n"), F.col("m"), cell_rows).alias("bits")), "lengths")
+    named = classes.df.withColumn("n", F.size("v")).join(small(lengths.df, lengths.count()), "n").select(F.col("cls").alias("id"), "least", "v", "bits")
     wanted = Saved(named.join(asked.select(F.col("cls").alias("id")).distinct(), "id"), "wanted")
-    index = Saved(_hashed(named, tables, 1), "index")
-    found = _search(_hashed(wanted.df, tables, probes), index.df, k + 1, block).distinct()
+    index = Saved(_hashed(named, tables, probes, False), "index")
+    found = _search(_hashed(wanted.df, tables, probes, True), index.df, k + 1, block).distinct()
     served = found.groupBy("q").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > k).select(F.col("q").alias("id"))
     short = Saved(wanted.df.join(served, "id", "left_anti"), "short")
     if short.df.limit(1).count():
-        found = found.unionByName(_search(_hashed(short.df, 1, 1, all_cells=True), index.df.where("t = 0"), k + 1, block)).distinct()
+        first = index.df.where("t = 0")
+        filled = Saved(first.select("d", "t", "cell").distinct(), "filled")
+        everywhere = short.df.withColumn("d", F.size("v")).join(small(filled.df, filled.count()), "d").select("id", "least", "v", "d", "t", "cell")
+        found = found.unionByName(_search(everywhere, first, k + 1, block)).distinct()
+        filled.drop()
     by_class = Window.partitionBy("q").orderBy(F.col("score").desc(), "least", "x")
     best = found.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1).select("q", "score", F.col("x").alias("cls"))
     listed = best.join(members, "cls").select("q", F.struct((-F.col("score")).alias("far"), "id", "row", "score").alias("c"))
@@ -157,5 +210,5 @@ def nearest(vectors: DataFrame, is_query, k: int, *, tables: int = TABLES, probe
     answers = asked.join(lists, "cls")
     others = F.slice(F.filter("all", lambda c: c["row"] != F.col("row")), 1, k)
     out = answers.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "c"))
-    index.drop(), short.drop(), wanted.drop(), classes.drop()
+    index.drop(), short.drop(), wanted.drop(), classes.drop(), lengths.drop()
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.id").alias("vec_id"), F.col("c.score").alias("score"))

@@ -76,6 +76,46 @@ def test_neighbours_recall_and_edges(spark):
     assert crosspoly.nearest(few.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
+def test_probes_are_the_nearest_cells_of_several_polytopes():
+    x = np.random.default_rng(11).standard_normal((20, 20))
+    for bits in (0, 1, 3, 6, 8):
+        widths = [6, min(bits, 6), max(0, bits - 6)]
+        near, names = np.zeros((20, 1)), np.zeros((20, 1), int)
+        for part, w in enumerate(w for w in widths if w):
+            y = crosspoly.rotated(x / np.linalg.norm(x, axis=1, keepdims=True), 2, 9 + part)[:, : 1 << (w - 1)]
+            signed = np.stack([y, -y], 2).reshape(20, -1)
+            near = (near[:, :, None] + signed[:, None, :]).reshape(20, -1)
+            names = (names[:, :, None] * signed.shape[1] + np.arange(signed.shape[1])).reshape(-1, near.shape[1])
+        want = np.take_along_axis(names, np.argsort(-near, axis=1, kind="stable")[:, :9], 1)
+        assert crosspoly.cells(x, 2, 9, bits).tolist() == want.tolist()
+        assert crosspoly.cells(x, 2, 1, bits)[:, 0].tolist() == want[:, 0].tolist()
+        assert crosspoly.cells(x, 2, 100, bits).shape == (20, min(100, 1 << (6 + bits)))
+
+
+def test_cells_grow_with_the_vectors_of_a_length(spark):
+    rows = spark.createDataFrame([(64, 51_282), (64, 65_536), (64, 65_537), (64, 1 << 33), (1, 1), (2, 2_049), (3, 4_097), (65, 1 << 17)], "d int, n long")
+    assert [r[0] for r in rows.select(crosspoly.cell_bits(F.col("d"), F.col("n"), 512)).collect()] == [0, 0, 1, 17, 0, 1, 1, 0]
+    assert crosspoly.effort(0, 8, 16) == (8, 16) and crosspoly.effort(7, 8, 16) == (24, 26)
+
+
+def test_neighbours_in_cells_of_several_polytopes(spark):
+    rng = np.random.default_rng(12)
+    x = (np.repeat(rng.standard_normal((40, 16)), 30, 0) + 0.15 * rng.standard_normal((1200, 16))).astype(np.float32)
+    x[600] = -x[:600].sum(0)
+    df = frame(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)])
+    got = {}
+    for r in crosspoly.nearest(df, F.col("id") % 20 == 0, 20, block=64, cell_rows=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    x, hits = x.astype(float), []
+    for q in range(0, 1200, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found = sorted(got[q])
+        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(f[2] - s[f[1]]) < 1e-9 for f in found)
+        hits.append(len(set(np.argsort(-s)[:20]) & {f[1] for f in found}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbours_of_hundreds_of_equal_vectors(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([np.repeat(rng.standard_normal((1, 16)), 300, 0), rng.standard_normal((100, 16))]).astype(np.float32)
